@@ -188,3 +188,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark passage, with the passages."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The documents that hold no item, with all their columns. Narrow, as ``leaks``; null texts stay."""
+    spark, place = docs.sparkSession, docs.columns.index(text_col)
+    schema = docs.schema
+    for block in blocks(benchmark, item_id_col, item_text_col):
+        shared = spark.sparkContext.broadcast(block)
+        name = f"{id(shared)}-{len(block)}-{hash(tuple(block))}"
+
+        def run(batches, shared=shared, name=name):
+            if name not in _made:
+                _made.clear()
+                _made[name] = Items(shared.value)
+            items = _made[name]
+            for batch in batches:
+                column = batch.column(place)
+                clean = [next(items.find(normal(column[row].as_py())), None) is None for row in range(batch.num_rows)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

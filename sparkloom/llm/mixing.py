@@ -153,3 +153,21 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes from every document."""
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", F.col("copies").cast("long").alias("copies"))
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix: every document as often as its copies say, with the columns of the documents.
+
+    Documents are shuffled once, by id and text hash, to meet their copies.
+    """
+    copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("copies").alias("__copies"))
+    copies = cut(copies)
+    keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
+    if not copies.groupBy("__id", "__text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # Equal rows are numbered on both sides, so that each meets one decision.
+        keyed = keyed.withColumn("__row", F.row_number().over(Window.partitionBy(id_col, "__hash").orderBy(F.xxhash64(*docs.columns))))
+        copies = copies.withColumn("__at", F.row_number().over(Window.partitionBy("__id", "__text").orderBy("__copies")))
+        same &= F.col("__row") == F.col("__at")
+    taken = keyed.join(copies.where("__copies > 0"), same)
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")

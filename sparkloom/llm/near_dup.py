@@ -300,3 +300,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without those that are not kept: one row of each class stays, the one with the least id.
+
+    Of several rows with one id the least by text stays. Ids to leave out are broadcast up to BROADCAST_IDS; more are
+    joined by a shuffle of the documents.
+    """
+    judged = cut(near_duplicates(docs, id_col=id_col, text_col=text_col).select("doc_id", "kept"))
+    out = judged.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
+    again = cut(judged.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id"))
+    out = F.broadcast(out) if judged.where("NOT kept").count() <= BROADCAST_IDS else out
+    same = F.col(id_col).cast("long") == F.col("__id")
+    kept = docs.join(out, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    first = Window.partitionBy(id_col).orderBy(F.col(text_col).isNull(), text_col, F.xxhash64(*docs.columns))
+    repeated = kept.join(again, same, "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
+    return kept.join(again, same, "left_anti").unionByName(repeated)

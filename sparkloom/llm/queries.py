@@ -1,15 +1,18 @@
 """The queries of these operators, and SQL for those that SQL can express."""
 
-from sparkloom.llm import decontaminate, mixing, quality, secrets, shard_map, tiff, token_count
+from sparkloom.llm import decontaminate, license_scan, mixing, near_dup, quality, secrets, shard_map, tiff, token_count, url_filter
 
 QUERIES = {
     "op1_secret_spans": secrets.op1_secret_spans,
     "op2_shard_slots": shard_map.op2_shard_slots,
     "op3_tiff": tiff.op3_tiff,
+    "op4_url_verdicts": url_filter.op4_url_verdicts,
     "op5_token_counts": token_count.op5_token_counts,
     "op6_benchmark_leaks": decontaminate.op6_benchmark_leaks,
     "op7_quality": quality.op7_quality,
     "op8_mixture": mixing.op8_mixture,
+    "op9_license_labels": license_scan.op9_license_labels,
+    "op10_near_duplicates": near_dup.op10_near_duplicates,
 }
 
 SQL: dict[str, str] = {}
