@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 # What a full case fold leaves in ASCII beyond lower-casing. All other characters fold to
 # something that the normalisers below treat as a gap.
@@ -90,7 +91,7 @@ def has_content(text: Column) -> Column:
     return text.rlike(r"[\p{L}\p{N}]")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def has_content_exact(text: pd.Series) -> pd.Series:
     """P05 by Python's tables, in Arrow batches."""
     return text.map(lambda t: any(c.isalnum() for c in t) if t is not None else None).astype("boolean")
@@ -135,7 +136,7 @@ def canonical_json(value: dict | None) -> str:
     return json.dumps(value or {}, sort_keys=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_text(text: pd.Series) -> pd.Series:
     """F09 over JSON texts, in Arrow batches."""
     return text.map(lambda t: None if t is None else canonical_json(json.loads(t)))
@@ -224,7 +225,7 @@ def split_message(text: str, limit: int = 4096) -> list[str]:
     return [*parts, rest] if rest else parts
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def split_messages(text: pd.Series) -> pd.Series:
     """F17 in Arrow batches."""
     return text.map(lambda t: None if t is None else split_message(t))

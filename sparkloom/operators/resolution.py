@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import CASE_FOLDS, LONG_PLURALS, UNCLASSIFIED, canonical_json, normal_names, normal_type
 from sparkloom.functions.vectors import dot, norm
+from sparkloom.lineage import cut
 
 TOP_K, MIN_CONFIDENCE, MIN_SIMILARITY = 10, 0.80, 0.80
 
@@ -64,9 +65,9 @@ def similar_in_blocks(incoming: DataFrame, canonical: DataFrame, *, min_similari
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "match_id": [], "similarity": [], "place": []})
-        right = right.sort_values("id", kind="stable")
-        a, b = unit(np.stack(left["vector"]).astype(np.float32)), unit(np.stack(right["vector"]).astype(np.float32))
-        ids, names, out = left["id"].to_numpy(), right["id"].to_numpy(), []
+        right = right.sort_values("other_id", kind="stable")
+        a, b = unit(np.stack(left["vector"]).astype(np.float32)), unit(np.stack(right["other"]).astype(np.float32))
+        ids, names, out = left["id"].to_numpy(), right["other_id"].to_numpy(), []
         for first in range(0, len(a), 512):
             scores = a[first : first + 512] @ b.T
             for row, s in enumerate(scores):
@@ -77,8 +78,8 @@ def similar_in_blocks(incoming: DataFrame, canonical: DataFrame, *, min_similari
         return pd.DataFrame(out, columns=["id", "match_id", "similarity", "place"])
 
     kind, match = incoming.schema["id"].dataType.simpleString(), canonical.schema["id"].dataType.simpleString()
-    a = incoming.select("id", "block", "vector", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
-    b = canonical.select("id", "block", "vector", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    a = incoming.select(F.col("id").alias("id"), F.col("block").alias("block"), F.col("vector").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
+    b = canonical.select(F.col("id").alias("other_id"), F.col("block").alias("block"), F.col("vector").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     return a.groupBy("block", "slice").cogroup(b.groupBy("block", "slice")).applyInPandas(run, f"id {kind}, match_id {match}, similarity double, place int")
 
 
@@ -389,7 +390,8 @@ def connected_entities(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l"))
     for _ in range(rounds):
         near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        new = label.join(near, "u").select("u", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved")).checkpoint()
+        new = label.join(near, "u").select("u", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved"))
+        new = cut(new)
         label = new.select("u", "l")
         if new.where("moved").isEmpty():
             break

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import edge_metadata_text, node_search_text, node_text, relationship_text, source_location, spaced, tokenize
+from sparkloom.lineage import cut
 from sparkloom.operators.provenance import unique_lists
 from sparkloom.operators.scoring import Bm25Index, bm25_index, bm25_normalized, fuse_ranks, normalize_max, semantic_scores, weighted_sum
 
@@ -198,7 +199,7 @@ class GraphRetriever:
         chosen = lists.select(*key, F.when(F.size("b0") > 0, F.col("b0")).otherwise(F.col("b1")).alias("c"))
         chosen = chosen.select(*key, F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), F.array_join(F.transform("c", lambda x: x["ctext"]), "\n").alias("evidence"))
         full = texts.select(*key, "node_ids", "edge_ids", "seed_score", text.alias("ptext")).join(chosen, key, "left")
-        full = full.withColumns({"chunk_ids": F.coalesce("chunk_ids", F.array().cast("array<string>")), "evidence": F.coalesce("evidence", F.lit(""))})
+        full = cut(full.withColumns({"chunk_ids": F.coalesce("chunk_ids", F.array().cast("array<string>")), "evidence": F.coalesce("evidence", F.lit(""))}))
         path_score = bm25_normalized(bm25_index(full, "path_id", "ptext", ("query_id",)), queries)
         evidence_score = bm25_normalized(bm25_index(full, "path_id", "evidence", ("query_id",)), queries)
         scored = full.select("query_id", "path_id", F.explode("node_ids").alias("id")).join(seeds.select("query_id", "id", F.col("score").alias("s")), ["query_id", "id"], "left").join(mentioned.select("query_id", "id", F.col("score").alias("m")), ["query_id", "id"], "left")
@@ -223,20 +224,20 @@ class GraphRetriever:
         for _ in range(max_hops):
             grown = frontier.withColumn("node", F.element_at("node_ids", -1)).join(self.neighbors, "node").where(~F.array_contains("node_ids", F.col("neighbor")))
             grown = grown.select("query_id", F.concat("node_ids", F.array("neighbor")).alias("node_ids"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), "seed_score")
-            ranked = self.rank_paths(queries, unique_paths(grown), seeds, mentioned).where(F.col("place") <= beam)
-            frontier = ranked.select("query_id", "node_ids", "edge_ids", "seed_score")
+            ranked = self.rank_paths(queries, cut(unique_paths(grown)), seeds, mentioned).where(F.col("place") <= beam)
+            frontier = cut(ranked.select("query_id", "node_ids", "edge_ids", "seed_score"))
             found = frontier if found is None else found.unionByName(frontier)
-        return unique_paths(found)
+        return cut(unique_paths(found))
 
     def best_paths(self, queries: DataFrame, *, max_hops: int = MAX_HOPS, top_paths: int = TOP_PATHS) -> DataFrame:
         """``query_id, rank, score, node_ids, edge_ids, chunk_ids`` of the best paths that have evidence."""
         check_limits(max_hops, top_paths, 1)
-        mentioned = mentions(queries, self.nodes)
-        seeds = self.seeds(queries, mentioned)
+        mentioned = cut(mentions(queries, self.nodes))
+        seeds = cut(self.seeds(queries, mentioned))
         paths = self.rank_paths(queries, self.traverse(queries, seeds, mentioned, max_hops, max(BEAM, top_paths * 5)), seeds, mentioned)
         order = Window.partitionBy("query_id").orderBy("place")
         kept = paths.where(F.size("chunk_ids") > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_paths)
-        return kept.select("query_id", "rank", "score", "node_ids", "edge_ids", "chunk_ids")
+        return cut(kept.select("query_id", "rank", "score", "node_ids", "edge_ids", "chunk_ids"))
 
     def rank(self, paths: DataFrame, top: int = TOP_CHUNKS) -> DataFrame:
         """``query_id, id, score, rank`` of evidence chunks: the sum of 1 / rank of their paths, divided by the best."""
@@ -267,10 +268,10 @@ def page_ranges(hits: DataFrame) -> DataFrame:
     is one reference without pages.
     """
     whole = Window.partitionBy("query_id", "source")
-    line = whole.orderBy("page_start", "page_end").rowsBetween(Window.unboundedPreceding, -1)
+    line = whole.orderBy("page_start", "page_end", "rank").rowsBetween(Window.unboundedPreceding, -1)
     rows = hits.withColumns({"unpaged": F.max(F.col("page_start").isNull()).over(whole), "first": F.min("rank").over(whole), "reach": F.max("page_end").over(line)})
     new = F.when(F.col("reach").isNull() | (F.col("page_start") > F.col("reach") + 1), 1).otherwise(0)
-    rows = rows.withColumn("island", F.when(F.col("unpaged"), 0).otherwise(F.sum(new).over(whole.orderBy("page_start", "page_end").rowsBetween(Window.unboundedPreceding, 0))))
+    rows = rows.withColumn("island", F.when(F.col("unpaged"), 0).otherwise(F.sum(new).over(whole.orderBy("page_start", "page_end", "rank").rowsBetween(Window.unboundedPreceding, 0))))
     out = rows.groupBy("query_id", "source", "island", "unpaged").agg(F.min("page_start").alias("s"), F.max("page_end").alias("e"), F.min("first").alias("first_rank"))
     return out.select("query_id", "source", F.when(~F.col("unpaged"), F.col("s")).alias("page_start"), F.when(~F.col("unpaged"), F.col("e")).alias("page_end"), "first_rank")
 
