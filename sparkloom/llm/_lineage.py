@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Small rows in a file of a cut table.
+FILE_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where the cluster names none (tests), a new one."""
@@ -20,10 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder, so that lost executors cost no recomputation.
+
+    A table of about ``rows`` small rows is gathered into as many files as FILE_ROWS asks for, in place of one per task.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.repartition(1 + rows // FILE_ROWS)
     path = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)
+

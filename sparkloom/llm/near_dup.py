@@ -1,20 +1,20 @@
 """Near duplicates by MinHash and a multi-index Hamming join.
 
 A document's set holds its distinct k-word shingles. Its signature has SYMBOLS minima of BITS bits each. Two signatures
-may differ in at most RADIUS symbols; split into CHUNKS chunks, they then agree in one chunk up to RADIUS // CHUNKS
-symbols. Every chunk is keyed once for each choice of that many symbols left out, so all pairs within the radius meet in
-a bucket. At the similarity sought, a pair's distance is binomial with a mean of 0.15 * 64 = 9.6 and a deviation of 2.9: one
-in about 100,000 pairs at the very threshold lies beyond the radius, and none that are closer.
+may differ in at most RADIUS symbols; split into CHUNKS chunks, they then agree in two chunks up to one symbol each, as 11
+chunks with two differences or more would make 22. Every chunk is keyed once for each choice of one symbol left out, so all
+pairs within the radius meet in buckets of two chunks. At the similarity sought, a pair's distance is binomial with a mean of
+0.15 * 64 = 9.6 and a deviation of 2.9, so that of pairs at the very threshold about one in 10,000 lies beyond the radius.
 
 Documents with equal sets are one from the start. A bucket links its members to one of them, its centre (the one with
 most copies). Links are confirmed on full sets. Pairs that do not go through a centre are confirmed only if their ends are
 still in different components: small buckets list them; in a bucket of over SMALL members they come from the exact
-residual join below, so no bucket is capped and none emits all its pairs.
+prefix join below, so no bucket is capped and none emits all its pairs. A member whose large buckets all belong to one
+chunk meets each of its partners in a small bucket of another chunk, and needs no prefix join.
 
-Residual join: for a member a that its centre c is not linked with, and any member b, let R be the difference of a set
-and the centre's set. If R(a) and R(b) have nothing in common, a is no nearer to b than to c, hence not linked. A link
-needs |R(a) & R(b)| >= (|R(a)| + |R(b)| - (1 - t) / t * min(|a|, |b|)) / 2, so, with elements in order of rarity, a and b
-must share one of the first |R| - that + 1 elements of both.
+Prefix join: of a link's sets a and b, at least PERCENT / (100 + PERCENT) * (|a| + |b|) shingles are common. With shingles in
+order of rarity, both have one of those among their first |a| - that + 1 and |b| - that + 1 shingles. Copies with edits of
+their own begin with shingles that no other has, so they meet nobody, however many there are.
 
 Defined results: a null or blank text has no shingle, n_shingles 0, and is linked with nothing. A row without an id is
 linked with nothing and kept. Rows that share an id count as one document with several texts. Ids are whole numbers.
@@ -35,7 +35,7 @@ from sparkloom.llm._text import LOWER, WORDS, mix, segments, shingle_hashes, utf
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-SYMBOLS, BITS, RADIUS, CHUNKS = 64, 16, 23, 12
+SYMBOLS, BITS, RADIUS, CHUNKS = 64, 16, 21, 12
 #: Members of a bucket whose pairs are listed.
 SMALL = 12
 #: Ids that a broadcast may hold (8 bytes each, some 40 in a hash table); more are joined by a shuffle.
@@ -75,7 +75,8 @@ def signature_keys(signatures: np.ndarray) -> np.ndarray:
             for s in range(a, b):
                 if s not in dropped:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, s])
-            out.append(key)
+            # The chunk's number stands in the highest bits.
+            out.append(key >> np.uint64(8) | np.uint64(chunk) << np.uint64(56))
     return np.stack(out, axis=1)
 
 
@@ -114,25 +115,25 @@ def _keyed(sets: DataFrame) -> DataFrame:
     return sets.select("rep", "n", "copies", "signature").mapInArrow(run, "key long, rep long, n long, copies long")
 
 
-PAIR = "lo long, hi long, star boolean, low_centre boolean, high_centre boolean, sized boolean"
+PAIR = "lo long, hi long, star boolean, low_centre boolean, high_centre boolean, sized boolean, chunks int"
 
 
 def _bucket_pairs(batches):
     """Streams buckets (rows by key, the centre first): pairs with the centre, and all pairs of small buckets.
 
-    At most one bucket of SMALL members is held beside the batch; a larger one is known by its centre.
+    At most one bucket of SMALL members is held beside the batch; a larger one is known by its centre. ``chunks`` has the bit of
+    the chunk of a large bucket.
     """
 
-    def pairs(x, y, nx, ny, star, hot):
+    def pairs(key, x, y, nx, ny, star, hot):
         keep = x != y
-        x, y, nx, ny = x[keep], y[keep], nx[keep], ny[keep]
-        low = x < y
-        no = np.zeros(len(x), bool)
-        sized = 100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)
         if not hot:
-            x, y, low = x[sized], y[sized], low[sized]
-            no, sized = no[sized], sized[sized]
-        cols = [np.where(low, x, y), np.where(low, y, x), no | star, ~low if hot else no, low if hot else no, sized]
+            keep &= 100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)
+        key, x, y, nx, ny = key[keep], x[keep], y[keep], nx[keep], ny[keep]
+        low, no = x < y, np.zeros(len(x), bool)
+        sized = 100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)
+        chunks = (1 << (key >> 56 & 15)).astype(np.int32) if hot else np.zeros(len(x), np.int32)
+        cols = [np.where(low, x, y), np.where(low, y, x), no | star, ~low if hot else no, low if hot else no, sized, chunks]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in PAIR.split(", ")])
 
     held = [np.zeros(0, np.int64)] * 3
@@ -140,9 +141,10 @@ def _bucket_pairs(batches):
     for batch in batches:
         fresh = [batch.column(k).to_numpy() for k in range(3)]
         if centre is not None:
-            go = int(np.searchsorted(fresh[0] != centre[0], True)) if len(fresh[0]) and fresh[0][-1] != centre[0] else len(fresh[0])
+            other = np.flatnonzero(fresh[0] != centre[0])
+            go = int(other[0]) if len(other) else len(fresh[0])
             if go:
-                yield pairs(fresh[1][:go], np.full(go, centre[1]), fresh[2][:go], np.full(go, centre[2]), True, True)
+                yield pairs(fresh[0][:go], fresh[1][:go], np.full(go, centre[1]), fresh[2][:go], np.full(go, centre[2]), True, True)
             fresh = [c[go:] for c in fresh]
             if len(fresh[0]):
                 centre = None
@@ -158,25 +160,25 @@ def _bucket_pairs(batches):
             starts, size = starts[:-1], size[:-1]
         else:
             centre = (key[-1], rep[starts[-1]], n[starts[-1]])
-        yield from _of_runs(pairs, rep, n, starts, size)
+        yield from _of_runs(pairs, key, rep, n, starts, size)
     key, rep, n = held
     if len(key):
-        yield from _of_runs(pairs, rep, n, np.array([0]), np.array([len(key)]))
+        yield from _of_runs(pairs, key, rep, n, np.array([0]), np.array([len(key)]))
 
 
-def _of_runs(pairs, rep, n, starts, size):
+def _of_runs(pairs, key, rep, n, starts, size):
     of, count = np.repeat(starts, size), np.repeat(size, size)
     at = np.arange(len(rep))
     for hot in (False, True):
         rows = np.flatnonzero((at != of) & ((count > SMALL) == hot))
         if len(rows):
-            yield pairs(rep[rows], rep[of[rows]], n[rows], n[of[rows]], True, hot)
+            yield pairs(key[rows], rep[rows], rep[of[rows]], n[rows], n[of[rows]], True, hot)
     for step in range(1, SMALL):
         rows = np.flatnonzero((at - of > step) & (count <= SMALL))
         if not len(rows):
             break
         other = rows - step
-        yield pairs(rep[rows], rep[other], n[rows], n[other], False, False)
+        yield pairs(key[rows], rep[rows], rep[other], n[rows], n[other], False, False)
 
 
 def _close(batches):
@@ -188,7 +190,6 @@ def _close(batches):
 
 def _shingles_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, n, shingles`` of the documents that ``ids`` names."""
-    ids = cut(ids)
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches):
@@ -211,21 +212,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("lo", "hi").join(a, "lo").join(b, "hi").where(_linked(inter, F.col("n_lo"), F.col("n_hi"))).select("lo", "hi")
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame, rows: int, most: int = 50) -> DataFrame:
     """``node, component`` (the least node reachable) of all ends of ``lo, hi`` edges, by alternating large and small stars.
 
-    Each round is two aggregations and joins; rounds grow with the logarithm of the longest path. Every round is cut.
+    Each round is two aggregations and joins; rounds grow with the logarithm of the longest path. Every round is cut. ``rows`` is about how many
+    edges there are.
     """
-    now = cut(edges.select(F.greatest("lo", "hi").alias("u"), F.least("lo", "hi").alias("v")).where("u <> v").distinct())
+    now = cut(edges.select(F.greatest("lo", "hi").alias("u"), F.least("lo", "hi").alias("v")).where("u <> v").distinct(), rows)
     mark = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
+        large = cut(large, rows)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
+        now = cut(small, rows)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
@@ -235,62 +237,62 @@ def components(edges: DataFrame, most: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _residual_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidates of large buckets, exactly. members: ``centre, rep, component`` of buckets with several components."""
-    centres = members.select("centre").distinct().join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("__c")), "centre")
-    known = members.join(sets.select(F.col("id").alias("rep"), "n", "shingles"), "rep").join(centres, "centre")
-    # Removed elements are told from added ones by another hash.
-    rest = F.concat(F.array_except("shingles", "__c"), F.transform(F.array_except("__c", "shingles"), lambda e: F.xxhash64(e, F.lit("-"))))
-    known = cut(known.where("rep <> centre").select("centre", "rep", "component", "n", rest.alias("rest")).withColumn("r", F.size("rest")))
-    items = known.select("centre", "rep", "component", "n", "r", F.explode("rest").alias("e"))
-    often = items.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    # An element that one member alone has is shared with none, but takes a place in the order, before all others.
-    shared = items.join(often, ["centre", "e"])
-    place = Window.partitionBy("centre", "rep").orderBy("f", "e")
-    total = Window.partitionBy("centre", "rep")
-    ranked = shared.withColumn("at", F.row_number().over(place) + F.col("r") - F.count(F.lit(1)).over(total))
-    # No pair needs fewer than this many common elements (its other end has at least as many as the slack allows).
-    slack = (100 - PERCENT) / PERCENT
-    ranked = cut(ranked.select("centre", "rep", "component", "n", "r", "e", "at"))
-    heads = members.select(F.col("centre").alias("c"), F.col("rep").alias("x"), F.col("component").alias("k")).where("c = x").select(F.col("c").alias("centre"), F.col("k").alias("home"))
-    a, b = ranked.join(heads, "centre").where("component <> home").alias("a"), ranked.alias("b")
-    need = F.greatest(F.lit(1.0), F.ceil((F.col("a.r") + F.col("b.r") - F.floor(F.lit(slack) * F.least("a.n", "b.n") + 1e-9)) / 2))
-    on = (F.col("a.centre") == F.col("b.centre")) & (F.col("a.e") == F.col("b.e")) & (F.col("a.component") != F.col("b.component"))
-    on &= (F.col("a.at") <= F.col("a.r") - need + 1) & (F.col("b.at") <= F.col("b.r") - need + 1)
+def _prefix_pairs(members: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+    """Candidates ``lo, hi`` among members of large buckets, exactly. members: ``rep, component``."""
+    known = members.join(sets.select(F.col("id").alias("rep"), "n", "shingles"), "rep")
+    items = known.select("rep", "component", "n", F.explode("shingles").alias("e"))
+    often = items.groupBy("e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # A shingle that one member alone has is shared with none, but takes a place in the order, before all others.
+    own = Window.partitionBy("rep", "component", "n")
+    place = F.row_number().over(own.orderBy("f", "e")) + F.col("n") - F.count(F.lit(1)).over(own)
+    ranked = items.join(often, "e").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    ranked = cut(ranked.select("rep", "component", "n", "e", "at"), rows)
+    # Pairs within a component are not sought, so the most common component of a shingle is taken on one side only.
+    common = ranked.groupBy("e", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("e").agg(F.max_by("component", "k").alias("common"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    ranked = ranked.join(common.drop("k"), "e")
+    a, b = ranked.where("component <> common").alias("a"), ranked.alias("b")
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * PERCENT / (100 + PERCENT))
+    on = (F.col("a.e") == F.col("b.e")) & (F.col("a.component") != F.col("b.component"))
+    on &= (F.col("a.at") <= F.col("a.n") - need + 1) & (F.col("b.at") <= F.col("b.n") - need + 1)
     return a.join(b, on).select(F.least("a.rep", "b.rep").alias("lo"), F.greatest("a.rep", "b.rep").alias("hi")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row: all documents linked, directly or not, share the least id."""
-    prints = cut(_fingerprints(docs, id_col, text_col))
+    size = docs.count()
+    prints = cut(_fingerprints(docs, id_col, text_col), 2 * size)
     full = prints.where("n > 0 AND doc_id IS NOT NULL")
-    sets = cut(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    sets = cut(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature")), 2 * size)
     # No task holds more of one key than others: a text is in one bucket per key, so the largest has 1 in SYMBOLS rows.
     keyed = _keyed(sets).repartition("key").sortWithinPartitions("key", F.desc("copies"), "rep").select("key", "rep", "n")
     raw = keyed.mapInArrow(_bucket_pairs, PAIR)
-    pairs = cut(raw.groupBy("lo", "hi").agg(*[F.max(c.split()[0]).alias(c.split()[0]) for c in PAIR.split(", ")[2:]]))
+    most = [F.max(c).alias(c) for c in ("star", "low_centre", "high_centre", "sized")]
+    pairs = cut(raw.groupBy("lo", "hi").agg(*most, F.bit_or("chunks").alias("chunks")), size)
     sig = sets.select("rep", "signature")
     near = pairs.where("sized").join(sig.select(F.col("rep").alias("lo"), F.col("signature").alias("sig_lo")), "lo").join(sig.select(F.col("rep").alias("hi"), F.col("signature").alias("sig_hi")), "hi")
-    near = cut(near.select("lo", "hi", "star", "low_centre", "high_centre", "sig_lo", "sig_hi").mapInArrow(_close, "lo long, hi long, star boolean, low_centre boolean, high_centre boolean"))
-    hot = pairs.where("low_centre").select(F.col("lo").alias("centre"), F.col("hi").alias("rep")).unionByName(pairs.where("high_centre").select(F.col("hi").alias("centre"), F.col("lo").alias("rep")))
-    hot = cut(hot.unionByName(hot.select("centre", F.col("centre").alias("rep"))).distinct())
+    near = cut(near.select("lo", "hi", "star", "low_centre", "high_centre", "sig_lo", "sig_hi").mapInArrow(_close, "lo long, hi long, star boolean, low_centre boolean, high_centre boolean"), size)
+    hot = pairs.where("low_centre").select(F.col("lo").alias("centre"), F.col("hi").alias("rep"), "chunks").unionByName(pairs.where("high_centre").select(F.col("hi").alias("centre"), F.col("lo").alias("rep"), "chunks"))
+    both = hot.unionByName(hot.select("centre", F.col("centre").alias("rep"), "chunks"))
+    several = both.groupBy("rep").agg(F.bit_or("chunks").alias("m")).where(F.bit_count("m") > 1).select("rep")
+    hot = hot.select("centre", "rep").join(several, "rep", "left_semi").distinct()
+    hot = cut(hot.unionByName(hot.select("centre", F.col("centre").alias("rep"))).distinct(), size)
     wanted = near.select(F.explode(F.array("lo", "hi")).alias("id")).unionByName(hot.select(F.col("rep").alias("id"))).distinct()
     shingles = cut(_shingles_of(docs, wanted, id_col, text_col))
-    links = cut(_confirm(near.where("star"), shingles))
-    first = components(links)
+    links = cut(_confirm(near.where("star"), shingles), size)
+    first = components(links, size)
     name = lambda df, node, out: df.join(first.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
     open_pairs = name(name(near.where("NOT star"), "lo", "c_lo"), "hi", "c_hi").where("c_lo <> c_hi").select("lo", "hi")
-    members = cut(name(hot, "rep", "component"))
+    members = cut(name(hot, "rep", "component"), size)
     split = members.groupBy("centre").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("centre")
-    members = cut(members.join(split, "centre", "left_semi"))
+    members = cut(members.join(split, "centre", "left_semi"), size)
     if not members.isEmpty():
-        open_pairs = open_pairs.unionByName(_residual_pairs(members, shingles)).distinct()
-    more = cut(_confirm(open_pairs, shingles))
+        open_pairs = open_pairs.unionByName(_prefix_pairs(members.select("rep", "component").distinct(), shingles, size)).distinct()
+    more = cut(_confirm(open_pairs, shingles), size)
     if not more.isEmpty():
         bridges = name(name(more, "lo", "c_lo"), "hi", "c_hi").select(F.col("c_lo").alias("lo"), F.col("c_hi").alias("hi"))
-        second = components(bridges).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        second = components(bridges, size).select(F.col("node").alias("component"), F.col("component").alias("whole"))
         lone = second.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(first.select("node"), "node", "left_anti")
-        first = cut(first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(lone))
+        first = cut(first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(lone), size)
     named = sets.select("set_a", "set_b", "rep").join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("__component"))
     out = prints.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("set_a")).alias("set_a"), "set_b", "n").join(named, ["set_a", "set_b"], "left")
     component = F.coalesce("__component", "doc_id")
