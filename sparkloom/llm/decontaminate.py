@@ -21,6 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 ERROR_SHARE = 0.1
 MIN_WORDS = 8
@@ -156,6 +157,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     broadcast at a bounded size and costs one pass.
     """
     spark = docs.sparkSession
+    item_type = to_arrow_type(benchmark.schema[item_id_col].dataType)
     id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id_col].dataType.simpleString()
     schema = f"doc_id {id_kind}, item_id {item_kind}, distance int, allowed int, start int, end int, passage string"
 
@@ -176,7 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                         item_id, item = items.items[number]
                         rows.append((batch.column(0)[row].as_py(), item_id, distance, budget(len(item)), start, end, text[start:end]))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                kinds = [batch.schema.field(0).type, None, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                kinds = [batch.schema.field(0).type, item_type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance", "allowed", "start", "end", "passage"])
 

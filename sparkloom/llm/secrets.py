@@ -196,8 +196,10 @@ class SegmentIndex:
         inside = at + 2 < offsets[row + 1]
         at, row = at[inside], row[inside]
         pair = np.unique(code[at].astype(np.int64) << 32 | row)
+        if not len(pair):
+            return
         grams = pair >> 32
-        cuts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(pair) else []
+        cuts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
         for a, b in zip(cuts, [*cuts[1:], len(pair)], strict=True):
             self.posting[int(grams[a])] = pair[a:b] & 0xFFFFFFFF
 

@@ -97,7 +97,7 @@ def model_table(judged: DataFrame) -> DataFrame:
     by_one = agg(two, ["b"], "1")
     one = two.groupBy("x").agg(F.sum("m0").alias("m0"), F.sum("m1").alias("m1")).withColumn("g", F.lit(1))
     whole = agg(one, ["g"], "0")
-    one = one.join(whole, "g").select("x", *[((F.col(f"m{k}") + F.col(f"t{k}0") / SIZE) / (F.col(f"s{k}0") + F.col(f"t{k}0"))).alias(f"p{k}0") for k in (0, 1)])
+    one = one.join(whole, "g").select("x", *[F.try_divide(F.col(f"m{k}") + F.col(f"t{k}0") / SIZE, F.col(f"s{k}0") + F.col(f"t{k}0")).alias(f"p{k}0") for k in (0, 1)])
     out = grid.join(two, ["b", "x"]).join(by_one, "b").join(by_pair, ["a", "b"]).join(one, "x")
     logs = []
     for k in (0, 1):
