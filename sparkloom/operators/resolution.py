@@ -401,7 +401,7 @@ def connected_entities(pairs: DataFrame, rounds: int = 30) -> DataFrame:
 def oldest_first(nodes: DataFrame, order_col: str = "ord") -> DataFrame:
     """Nodes with ``rank``, their age in arrival order; ranks come from sorted partitions' offsets, not from one task."""
     line = Window.partitionBy("__p").orderBy(order_col)
-    parts = nodes.repartitionByRange(order_col).withColumn("__p", F.spark_partition_id())
+    parts = cut(nodes.repartitionByRange(order_col).withColumn("__p", F.spark_partition_id()))  # cut, as ranges are sampled anew each time
     sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

@@ -13,32 +13,40 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import tokenize
 from sparkloom.functions.vectors import cosine
+from sparkloom.lineage import cut
 
 K1, B = 1.5, 0.75
 RANK_CONSTANT = 60
+#: Query terms that may be broadcast to the scan; more are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """Term counts and statistics of a corpus, or of one corpus per ``group``.
+    """Tokens and statistics of a corpus, or of one corpus per ``group``.
 
-    tf: ``*group, term, id, tf, length``; df: ``*group, term, df``; stats: ``*group, n, mean``.
+    tokens: ``*group, id, length, tokens``; stats: ``*group, n, mean``. Terms are counted when queries ask for them, so that only
+    those are shuffled.
     """
 
-    tf: DataFrame
-    df: DataFrame
+    tokens: DataFrame
     stats: DataFrame
     group: tuple[str, ...] = ()
 
 
 def bm25_index(docs: DataFrame, id_col: str = "id", text_col: str = "text", group: tuple[str, ...] = ()) -> Bm25Index:
     """Empty documents count in the number and the mean length."""
-    tokens = docs.select(*group, F.col(id_col).alias("id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"))
-    tokens = tokens.withColumn("length", F.size("__t"))
-    stats = tokens.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    tf = tokens.select(*group, "id", "length", F.explode("__t").alias("term")).groupBy(*group, "term", "id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
-    return Bm25Index(tf, df, stats, group)
+    tokens = docs.select(*group, F.col(id_col).alias("id"), tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens")).withColumn("length", F.size("tokens"))
+    return Bm25Index(tokens, tokens.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")), group)
+
+
+def term_counts(index: Bm25Index, terms: DataFrame) -> DataFrame:
+    """``*group, term, id, length, tf`` of the terms that are asked for."""
+    key = [*index.group, "term"]
+    asked = terms.select(*key).distinct()
+    asked = F.broadcast(asked) if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else asked
+    rows = index.tokens.select(*index.group, "id", "length", F.explode("tokens").alias("term")).join(asked, key, "left_semi")
+    return rows.groupBy(*key, "id", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -57,8 +65,10 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, query_col: str = "query")
     """
     terms = query_terms(queries, query_col)
     on = [*index.group, "term"]
+    tf = cut(term_counts(index, terms))
+    df = tf.groupBy(*on).agg(F.count(F.lit(1)).alias("df"))
     stats = index.stats if index.group else F.broadcast(index.stats)  # a single row when there is no group
-    hits = terms.join(index.df, on).join(index.tf, on)
+    hits = terms.join(df, on).join(tf, on)
     hits = hits.join(stats, list(index.group)) if index.group else hits.crossJoin(stats)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("times") * idf(F.col("n"), F.col("df")) * weight).alias("score"))

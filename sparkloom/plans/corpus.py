@@ -17,7 +17,7 @@ from sparkloom.functions.text import normal_type
 from sparkloom.operators.chunking import TokenCounter, chunk_documents, neighbors, pattern_tokens
 from sparkloom.operators.graph_build import EXTRACTION_SCHEMA, build_chunk_graphs, document_counters, extraction_misses
 from sparkloom.operators.provenance import combine_graphs, graph_errors, keep_sources, materialize_edges, materialize_nodes
-from sparkloom.operators.resolution import Contribution, Entity, Resolver, embeddings_of, missing_embeddings
+from sparkloom.operators.resolution import Contribution, Entity, Resolver, embeddings_of, missing_embeddings, oldest_first
 from sparkloom.operators.retrieval import MAX_HOPS, TOP_CHUNKS, TOP_PATHS, annotations, chunk_retriever, context_text, fuse, graph_retriever, in_scope, page_ranges, path_lines, searchable_text
 from sparkloom.operators.sync import delete_keys, diff_sources, replace_sources
 from sparkloom.operators.taxonomy import suggestion_records
@@ -112,14 +112,15 @@ class Corpus:
         nodes = made["graph_nodes"].join(made["graph_metadata"], "source")
         edges = made["graph_edges"].join(made["graph_metadata"], "source")
         base = self._next(old_nodes)
-        ordered = nodes.withColumn("ord", base + F.row_number().over(_line("source", "place")))
+        ordered = _numbered(nodes).withColumn("ord", base + F.col("ord"))
         if self.make_resolver is None:
             ids = ordered.select("source", F.col("id").alias("node_id"), F.col("id").alias("entity_id"))
         else:
             ids = self._resolve(old_nodes, ordered)
         ids = ids.persist()
-        joined = ordered.join(ids, (ordered["source"] == ids["source"]) & (ordered["id"] == ids["node_id"])).select(F.col("entity_id").alias("canonical_id"), "ord", ordered["source"], "content_hash", F.col("id").alias("node_id"), "label", "type", "suggested_type", "aliases", "properties", "chunk_ids", F.expr(_NO_STRINGS).alias("resolution_aliases"))
-        numbered = edges.withColumn("ord", self._next(old_edges) + F.row_number().over(_line("source", "place")))
+        own = ids.select("source", F.col("node_id").alias("id"), "entity_id")
+        joined = ordered.join(own, ["source", "id"]).select(F.col("entity_id").alias("canonical_id"), "ord", "source", "content_hash", F.col("id").alias("node_id"), "label", "type", "suggested_type", "aliases", "properties", "chunk_ids", F.expr(_NO_STRINGS).alias("resolution_aliases"))
+        numbered = _numbered(edges).withColumn("ord", self._next(old_edges) + F.col("ord"))
         for end in ("from_id", "to_id"):
             m = ids.select("source", F.col("node_id").alias(end), "entity_id")
             numbered = numbered.join(m, ["source", end], "left").withColumn(end, F.coalesce("entity_id", end)).drop("entity_id")
@@ -157,7 +158,7 @@ class Corpus:
                 out += [(key[0], e.id, ids[e.id]) for e in nodes]
             return pd.DataFrame(out, columns=["source", "node_id", "entity_id"])
 
-        return rows.groupBy(F.lit(0)).applyInPandas(run, "source string, node_id string, entity_id string")
+        return rows.withColumn("__one", F.lit(True)).groupBy("__one").applyInPandas(run, "source string, node_id string, entity_id string")
 
     def _embedded(self, texts: DataFrame, name: str) -> DataFrame:
         """Vectors of texts: known ones are reused, distinct missing ones made."""
@@ -171,9 +172,8 @@ class Corpus:
         """The knowledge base from all document graphs, published anew (G12); ids are given as by ``combine_graphs``."""
         meta = self.store.load("graph_metadata")
         nodes, edges = self.store.load("graph_nodes").join(meta, "source"), self.store.load("graph_edges").join(meta, "source")
-        number = F.row_number().over(_line("source", "place")).cast("long")
-        n = nodes.withColumn("ord", number).select(F.col("id").alias("canonical_id"), "ord", "source", "content_hash", F.col("id").alias("node_id"), "label", "type", "suggested_type", "aliases", "properties", "chunk_ids", F.expr(_NO_STRINGS).alias("resolution_aliases"))
-        e = edges.withColumn("ord", number).select(F.col("id").alias("canonical_id"), "ord", "source", "content_hash", F.col("id").alias("edge_id"), "from_id", "to_id", "label", "properties", "chunk_ids")
+        n = _numbered(nodes).select(F.col("id").alias("canonical_id"), "ord", "source", "content_hash", F.col("id").alias("node_id"), "label", "type", "suggested_type", "aliases", "properties", "chunk_ids", F.expr(_NO_STRINGS).alias("resolution_aliases"))
+        e = _numbered(edges).select(F.col("id").alias("canonical_id"), "ord", "source", "content_hash", F.col("id").alias("edge_id"), "from_id", "to_id", "label", "properties", "chunk_ids")
         kb_nodes, kb_edges = combine_graphs(n, e)
         return self.store.commit({"kb_nodes": kb_nodes, "kb_edges": kb_edges})
 
@@ -182,10 +182,9 @@ class Corpus:
         return graph_errors(self.store.load("kb_nodes"), self.store.load("kb_edges"))
 
 
-def _line(*order: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*order)
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``ord``, counting from 0 by source and place, without gathering them in one task."""
+    return oldest_first(rows.withColumn("__line", F.concat_ws("\x00", "source", "place")), "__line").withColumn("ord", F.col("rank").cast("long")).drop("__line", "rank")
 
 
 class Search:
