@@ -11,6 +11,8 @@ teaches nothing. Repeated documents are scored each on its own and teach once.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             for i, y, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 held[i] = min(held.get(i, (y, x)), (y, x))
-        order = sorted(held, key=lambda i: (mix(np.array([hash(i) & (1 << 63) - 1], np.uint64))[0], i))
+        order = sorted(held, key=lambda i: (zlib.crc32(str(i).encode()), i))
         w = train([np.frombuffer(held[i][1], np.int32) for i in order], np.array([held[i][0] for i in order], float))
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
