@@ -68,6 +68,11 @@ def _tilted(limit: float, share: float) -> tuple[Column, Column]:
     return 1 / (1 + F.exp(-F.least(F.greatest(at, F.lit(-700.0)), F.lit(700.0)))), x
 
 
+def _exact(value: Column) -> Column:
+    """A sum in whole thousandths, which is the same in whatever order the parts meet."""
+    return F.sum((value * 1000).cast("decimal(38,0)")).cast("double") / 1000
+
+
 def solve(cells: DataFrame, goals: DataFrame, limit: float = LIMIT, share: float = SHARE, steps: int = STEPS) -> list[tuple]:
     """(source, b, mean size, target, size) of each source; b is None where no rate between 0 and the limit is asked for.
 
@@ -86,7 +91,7 @@ def solve(cells: DataFrame, goals: DataFrame, limit: float = LIMIT, share: float
         dual = F.broadcast(dual) if len(live) <= BROADCAST_SOURCES else dual
         p, x = _tilted(limit, share)
         words = F.col("n") * F.col("size") * limit
-        sums = cells.join(dual, F.col("source").eqNullSafe(F.col("__s"))).groupBy("source").agg(F.sum(words * p), F.sum(words * p * (1 - p) * x))
+        sums = cells.join(dual, F.col("source").eqNullSafe(F.col("__s"))).groupBy("source").agg(_exact(words * p), _exact(words * p * (1 - p) * x))
         for s, taken, slope in sums.collect():
             b, low, high, target, total = state[s]
             gap = taken - target
