@@ -17,12 +17,9 @@ def docs(spark, **texts):
     return spark.createDataFrame([(f"documents/{k}.md", v) for k, v in texts.items()], "source string, markdown string")
 
 
-def make_resolver():
-    return Resolver(embed=lambda texts: [[1.0, 0.0]] * len(texts), judge=lambda node, candidates: Decision("new"))
-
-
 @pytest.mark.parametrize("resolved", [False, True])
 def test_maintenance(spark, tmp_path, resolved):
+    make_resolver = lambda: Resolver(embed=lambda texts: [[1.0, 0.0]] * len(texts), judge=lambda node, candidates: Decision("new"))
     corpus = Corpus(SnapshotStore(spark, str(tmp_path)), WordExtraction(), HashEmbeddings(), make_resolver if resolved else None)
     first = corpus.synchronize(docs(spark, a="Alpha uses Beta.", b="Beta needs Gamma."))
     assert first["added"] == ["documents/a.md", "documents/b.md"]
