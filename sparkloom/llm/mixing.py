@@ -131,10 +131,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     spark = docs.sparkSession
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), text_hash.alias("text_hash"))
-    sized = cut(sized.withColumn("__part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PARTS)).cast("int")))
-    parts = cut(sized.groupBy("source", "size", "__part").agg(F.count(F.lit(1)).alias("n")))
-    cells = cut(parts.groupBy("source", "size").agg(F.sum("n").alias("n")))
-    goals = cut(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), limit=limit))
+    rows = docs.count()
+    sized = cut(sized.withColumn("__part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PARTS)).cast("int")), 2 * rows)
+    parts = cut(sized.groupBy("source", "size", "__part").agg(F.count(F.lit(1)).alias("n")), rows)
+    cells = cut(parts.groupBy("source", "size").agg(F.sum("n").alias("n")), rows // 4)
+    goals = cut(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), limit=limit), 0)
     dual = solve(cells, goals, limit)
     table = spark.createDataFrame(dual, "__s string, __b double, __m double, target double, source_size long")
     table = F.broadcast(table) if len(dual) <= BROADCAST_SOURCES else table
@@ -166,7 +167,7 @@ def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     Documents are shuffled once, by id and text hash, to meet their copies.
     """
     copies = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("copies").alias("__copies"))
-    copies = cut(copies)
+    copies = cut(copies, docs.count())
     keyed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
     if not copies.groupBy("__id", "__text").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
