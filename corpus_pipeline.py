@@ -18,6 +18,8 @@ from sparkloom.llm import decontaminate, mixing, near_dup, quality, shard_map
 from sparkloom.llm._lineage import shared_dir
 
 ORACLE_SQL = None
+#: Documents of this similarity of five-word shingles or more are near duplicates.
+NEAR_PERCENT = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return near_dup.keep_one(docs)
+    return near_dup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

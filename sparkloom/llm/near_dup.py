@@ -1,10 +1,11 @@
 """Near duplicates by MinHash and a multi-index Hamming join.
 
 A document's set holds its distinct k-word shingles. Its signature has SYMBOLS minima of BITS bits each. Two signatures
-may differ in at most RADIUS symbols; split into CHUNKS chunks, they then agree in two chunks up to one symbol each, as 11
-chunks with two differences or more would make 22. Every chunk is keyed once for each choice of one symbol left out, so all
-pairs within the radius meet in buckets of two chunks. At the similarity sought, a pair's distance is binomial with a mean of
-0.15 * 64 = 9.6 and a deviation of 2.9, so that of pairs at the very threshold about one in 10,000 lies beyond the radius.
+may differ in at most ``radius(percent)`` symbols; split into ``chunks(radius)`` chunks, they then agree in two chunks up to one
+symbol each: at 85 % the radius is 21, and 11 of 12 chunks with two differences or more would make 22. Every chunk is keyed once
+for each choice of one symbol left out, so all pairs within the radius meet in buckets of two chunks. The distance of a pair at the
+threshold is binomial (at 85 % with a mean of 0.15 * 64 = 9.6 and a deviation of 2.9); the radius is the least that leaves at most
+one in 10,000 of such pairs beyond it.
 
 Documents with equal sets are one from the start. A bucket links its members to one of them, its centre (the one with
 most copies). Links are confirmed on full sets. Pairs that do not go through a centre are confirmed only if their ends are
@@ -12,7 +13,7 @@ still in different components: small buckets list them; in a bucket of over SMAL
 prefix join below, so no bucket is capped and none emits all its pairs. A member whose large buckets all belong to one
 chunk meets each of its partners in a small bucket of another chunk, and needs no prefix join.
 
-Prefix join: of a link's sets a and b, at least PERCENT / (100 + PERCENT) * (|a| + |b|) shingles are common. With shingles in
+Prefix join: of a link's sets a and b, at least percent / (100 + percent) * (|a| + |b|) shingles are common. With shingles in
 order of rarity, both have one of those among their first |a| - that + 1 and |b| - that + 1 shingles. Copies with edits of
 their own begin with shingles that no other has, so they meet nobody, however many there are.
 
@@ -23,6 +24,7 @@ linked with nothing and kept. Rows that share an id count as one document with s
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,12 @@ from sparkloom.llm._lineage import cut
 from sparkloom.llm._text import LOWER, WORDS, mix, segments, shingle_hashes, utf8, word_hashes
 
 SHINGLE = 5
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union; this is the percent of op10.
 PERCENT = 85
+#: The radius and the chunks are those of PERCENT.
 SYMBOLS, BITS, RADIUS, CHUNKS = 64, 16, 21, 12
+#: Pairs at the very threshold that may lie beyond the radius, and the least percent whose chunks still tell texts apart.
+BEYOND, LEAST_PERCENT = 1e-4, 70
 #: Members of a bucket whose pairs are listed.
 SMALL = 12
 #: Ids that a broadcast may hold (8 bytes each, some 40 in a hash table); more are joined by a shuffle.
@@ -64,13 +69,31 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (mix(best) >> np.uint64(64 - BITS)).astype(np.uint16)
 
 
-def signature_keys(signatures: np.ndarray) -> np.ndarray:
-    """Bucket keys, one row per signature: for each chunk, one key for each choice of symbols that may differ."""
-    edges = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
+def radius(percent: int) -> int:
+    """The least distance that at most BEYOND of the pairs of exactly that similarity exceed."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be between {LEAST_PERCENT} and 100")
+    miss, beyond = 1 - percent / 100, 1.0
+    for r in range(SYMBOLS):
+        beyond -= comb(SYMBOLS, r) * miss**r * (1 - miss) ** (SYMBOLS - r)
+        if beyond <= BEYOND:
+            return r
+    return SYMBOLS
+
+
+def chunks(within: int) -> int:
+    """The least number of chunks of which two have at most one difference each, where ``within`` symbols differ."""
+    return within // 2 + 2
+
+
+def signature_keys(signatures: np.ndarray, within: int = RADIUS) -> np.ndarray:
+    """Bucket keys, one row per signature: for each chunk, one key for each choice of a symbol that may differ."""
+    count = chunks(within)
+    edges = [SYMBOLS * i // count for i in range(count + 1)]
     out = []
     wide = signatures.astype(np.uint64)
     for chunk, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        for number, dropped in enumerate(combinations(range(a, b), RADIUS // CHUNKS)):
+        for number, dropped in enumerate(combinations(range(a, b), 1)):
             key = np.full(len(wide), chunk << 16 | number, np.uint64)
             for s in range(a, b):
                 if s not in dropped:
@@ -80,8 +103,8 @@ def signature_keys(signatures: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def _linked(inter: Column, n: Column, m: Column) -> Column:
-    return 100 * inter >= PERCENT * (n + m - inter)
+def _linked(inter: Column, n: Column, m: Column, percent: int) -> Column:
+    return 100 * inter >= percent * (n + m - inter)
 
 
 def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,7 +123,7 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, set_a long, set_b long, n long, signature binary")
 
 
-def _keyed(sets: DataFrame) -> DataFrame:
+def _keyed(sets: DataFrame, within: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
@@ -108,7 +131,7 @@ def _keyed(sets: DataFrame) -> DataFrame:
                 if not part.num_rows:
                     continue
                 sig = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-                keys = signature_keys(sig)
+                keys = signature_keys(sig, within)
                 copy = lambda k: pa.array(np.repeat(part.column(k).to_numpy(zero_copy_only=False), keys.shape[1]))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), copy(0), copy(1), copy(2)], ["key", "rep", "n", "copies"])
 
@@ -118,7 +141,7 @@ def _keyed(sets: DataFrame) -> DataFrame:
 PAIR = "lo long, hi long, star boolean, low_centre boolean, high_centre boolean, sized boolean, chunks int"
 
 
-def _bucket_pairs(batches):
+def _bucket_pairs(batches, percent=PERCENT):
     """Streams buckets (rows by key, the centre first): pairs with the centre, and all pairs of small buckets.
 
     At most one bucket of SMALL members is held beside the batch; a larger one is known by its centre. ``chunks`` has the bit of
@@ -128,11 +151,11 @@ def _bucket_pairs(batches):
     def pairs(key, x, y, nx, ny, star, hot):
         keep = x != y
         if not hot:
-            keep &= 100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)
+            keep &= 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
         key, x, y, nx, ny = key[keep], x[keep], y[keep], nx[keep], ny[keep]
         low, no = x < y, np.zeros(len(x), bool)
-        sized = 100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)
-        chunks = (1 << (key >> 56 & 15)).astype(np.int32) if hot else np.zeros(len(x), np.int32)
+        sized = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+        chunks = (1 << (key >> 56 & 31)).astype(np.int32) if hot else np.zeros(len(x), np.int32)
         cols = [np.where(low, x, y), np.where(low, y, x), no | star, ~low if hot else no, low if hot else no, sized, chunks]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in PAIR.split(", ")])
 
@@ -181,11 +204,11 @@ def _of_runs(pairs, key, rep, n, starts, size):
         yield pairs(key[rows], rep[rows], rep[other], n[rows], n[other], False, False)
 
 
-def _close(batches):
+def _close(batches, within):
     for batch in batches:
         if batch.num_rows:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for k in (5, 6))
-            yield batch.filter(pa.array((a != b).sum(axis=1) <= RADIUS)).select([0, 1, 2, 3, 4])
+            yield batch.filter(pa.array((a != b).sum(axis=1) <= within)).select([0, 1, 2, 3, 4])
 
 
 def _shingles_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -204,12 +227,12 @@ def _shingles_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) ->
     return chosen.mapInArrow(run, "id long, n long, shingles array<long>")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``lo, hi`` that are links by their full sets."""
     a = sets.select(F.col("id").alias("lo"), F.col("n").alias("n_lo"), F.col("shingles").alias("s_lo"))
     b = sets.select(F.col("id").alias("hi"), F.col("n").alias("n_hi"), F.col("shingles").alias("s_hi"))
     inter = F.size(F.array_intersect("s_lo", "s_hi"))
-    return pairs.select("lo", "hi").join(a, "lo").join(b, "hi").where(_linked(inter, F.col("n_lo"), F.col("n_hi"))).select("lo", "hi")
+    return pairs.select("lo", "hi").join(a, "lo").join(b, "hi").where(_linked(inter, F.col("n_lo"), F.col("n_hi"), percent)).select("lo", "hi")
 
 
 def components(edges: DataFrame, rows: int, most: int = 50) -> DataFrame:
@@ -237,7 +260,7 @@ def components(edges: DataFrame, rows: int, most: int = 50) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
+def _prefix_pairs(members: DataFrame, sets: DataFrame, rows: int, percent: int) -> DataFrame:
     """Candidates ``lo, hi`` among members of large buckets, exactly. members: ``rep, component``."""
     known = members.join(sets.select(F.col("id").alias("rep"), "n", "shingles"), "rep")
     items = known.select("rep", "component", "n", F.explode("shingles").alias("e"))
@@ -245,32 +268,36 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     # A shingle that one member alone has is shared with none, but takes a place in the order, before all others.
     own = Window.partitionBy("rep", "component", "n")
     place = F.row_number().over(own.orderBy("f", "e")) + F.col("n") - F.count(F.lit(1)).over(own)
-    ranked = items.join(often, "e").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
+    ranked = items.join(often, "e").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     ranked = cut(ranked.select("rep", "component", "n", "e", "at"), rows)
     # Pairs within a component are not sought, so the most common component of a shingle is taken on one side only.
     common = ranked.groupBy("e", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("e").agg(F.max_by("component", "k").alias("common"), F.count(F.lit(1)).alias("k")).where("k > 1")
     ranked = ranked.join(common.drop("k"), "e")
     a, b = ranked.where("component <> common").alias("a"), ranked.alias("b")
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * PERCENT / (100 + PERCENT))
+    need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
     on = (F.col("a.e") == F.col("b.e")) & (F.col("a.component") != F.col("b.component"))
     on &= (F.col("a.at") <= F.col("a.n") - need + 1) & (F.col("b.at") <= F.col("b.n") - need + 1)
     return a.join(b, on).select(F.least("a.rep", "b.rep").alias("lo"), F.greatest("a.rep", "b.rep").alias("hi")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row: all documents linked, directly or not, share the least id."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row: all documents linked, directly or not, share the least id.
+
+    Documents of ``percent`` similarity or more (LEAST_PERCENT to 100) are linked.
+    """
+    within = radius(percent)
     size = docs.count()
     prints = cut(_fingerprints(docs, id_col, text_col), 2 * size)
     full = prints.where("n > 0 AND doc_id IS NOT NULL")
     sets = cut(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature")), 2 * size)
     # No task holds more of one key than others: a text is in one bucket per key, so the largest has 1 in SYMBOLS rows.
-    keyed = _keyed(sets).repartition("key").sortWithinPartitions("key", F.desc("copies"), "rep").select("key", "rep", "n")
-    raw = keyed.mapInArrow(_bucket_pairs, PAIR)
+    keyed = _keyed(sets, within).repartition("key").sortWithinPartitions("key", F.desc("copies"), "rep").select("key", "rep", "n")
+    raw = keyed.mapInArrow(lambda batches: _bucket_pairs(batches, percent), PAIR)
     most = [F.max(c).alias(c) for c in ("star", "low_centre", "high_centre", "sized")]
     pairs = cut(raw.groupBy("lo", "hi").agg(*most, F.bit_or("chunks").alias("chunks")), size)
     sig = sets.select("rep", "signature")
     near = pairs.where("sized").join(sig.select(F.col("rep").alias("lo"), F.col("signature").alias("sig_lo")), "lo").join(sig.select(F.col("rep").alias("hi"), F.col("signature").alias("sig_hi")), "hi")
-    near = cut(near.select("lo", "hi", "star", "low_centre", "high_centre", "sig_lo", "sig_hi").mapInArrow(_close, "lo long, hi long, star boolean, low_centre boolean, high_centre boolean"), size)
+    near = cut(near.select("lo", "hi", "star", "low_centre", "high_centre", "sig_lo", "sig_hi").mapInArrow(lambda batches: _close(batches, within), "lo long, hi long, star boolean, low_centre boolean, high_centre boolean"), size)
     hot = pairs.where("low_centre").select(F.col("lo").alias("centre"), F.col("hi").alias("rep"), "chunks").unionByName(pairs.where("high_centre").select(F.col("hi").alias("centre"), F.col("lo").alias("rep"), "chunks"))
     both = hot.unionByName(hot.select("centre", F.col("centre").alias("rep"), "chunks"))
     several = both.groupBy("rep").agg(F.bit_or("chunks").alias("m")).where(F.bit_count("m") > 1).select("rep")
@@ -278,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hot = cut(hot.unionByName(hot.select("centre", F.col("centre").alias("rep"))).distinct(), size)
     wanted = near.select(F.explode(F.array("lo", "hi")).alias("id")).unionByName(hot.select(F.col("rep").alias("id"))).distinct()
     shingles = cut(_shingles_of(docs, wanted, id_col, text_col))
-    links = cut(_confirm(near.where("star"), shingles), size)
+    links = cut(_confirm(near.where("star"), shingles, percent), size)
     first = components(links, size)
     name = lambda df, node, out: df.join(first.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
     open_pairs = name(name(near.where("NOT star"), "lo", "c_lo"), "hi", "c_hi").where("c_lo <> c_hi").select("lo", "hi")
@@ -286,8 +313,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     split = members.groupBy("centre").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("centre")
     members = cut(members.join(split, "centre", "left_semi"), size)
     if not members.isEmpty():
-        open_pairs = open_pairs.unionByName(_prefix_pairs(members.select("rep", "component").distinct(), shingles, size)).distinct()
-    more = cut(_confirm(open_pairs, shingles), size)
+        open_pairs = open_pairs.unionByName(_prefix_pairs(members.select("rep", "component").distinct(), shingles, size, percent)).distinct()
+    more = cut(_confirm(open_pairs, shingles, percent), size)
     if not more.isEmpty():
         bridges = name(name(more, "lo", "c_lo"), "hi", "c_hi").select(F.col("c_lo").alias("lo"), F.col("c_hi").alias("hi"))
         second = components(bridges, size).select(F.col("node").alias("component"), F.col("component").alias("whole"))
@@ -304,13 +331,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents without those that are not kept: one row of each class stays, the one with the least id.
 
     Of several rows with one id the least by text stays. Ids to leave out are broadcast up to BROADCAST_IDS; more are
     joined by a shuffle of the documents.
     """
-    judged = cut(near_duplicates(docs, id_col=id_col, text_col=text_col).select("doc_id", "kept"))
+    judged = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).select("doc_id", "kept"))
     out = judged.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
     again = cut(judged.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id"))
     out = F.broadcast(out) if judged.where("NOT kept").count() <= BROADCAST_IDS else out

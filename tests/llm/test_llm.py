@@ -475,6 +475,46 @@ def test_near_duplicates_on_odd_rows(spark):
     assert near_dup.near_duplicates(none(spark)).count() == 0 and near_dup.keep_one(none(spark)).count() == 0
 
 
+def test_near_duplicates_at_a_lower_percent(spark):
+    assert [near_dup.radius(p) for p in (85, 80)] == [near_dup.RADIUS, 26] and near_dup.chunks(near_dup.RADIUS) == near_dup.CHUNKS
+    rng = np.random.default_rng(11)
+    for _ in range(100):
+        one = rng.integers(0, 1 << 16, near_dup.SYMBOLS, dtype=np.uint16)
+        other = one.copy()
+        other[rng.choice(near_dup.SYMBOLS, 26, replace=False)] += 1
+        keys = near_dup.signature_keys(np.stack([one, other]), 26)
+        assert len({int(k) >> 56 for k in np.intersect1d(keys[0], keys[1])}) >= 2
+    words = [f"w{k}" for k in range(104)]
+    texts = [" ".join(words), " ".join([*words[:92], *(f"x{k}" for k in range(12))]), " ".join([*words[:90], *(f"y{k}" for k in range(14))])]
+    many = [f"v{k}" for k in range(200)]  # a large bucket whose members reach the threshold only in part
+    texts += [" ".join([*many[: 200 - k], *(f"z{i}-{k}" for i in range(k))]) for k in range(2, 30)] + [" ".join(many)] * 20
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # 88 of 112 and 86 of 114 shingles: 78.6 % and 75.4 %; copies with 11 words changed have 89 of 111: 80.2 %.
+    docs = docs.unionByName(spark.createDataFrame([(1000, " ".join([*words[:93], *(f"u{k}" for k in range(11))]))], docs.schema))
+    rows.append((1000, docs.where("doc_id = 1000").first().text))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            n = len(sets[a] & sets[b])
+            if a < b and 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, percent=80).collect()}
+    assert got == {i: find(i) for i in sets} and got[1000] == 0
+    assert {r.doc_id for r in near_dup.near_duplicates(docs).where("kept").collect()} >= {0, 1000}
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {i for i in sets if find(i) == i}
+    with pytest.raises(ValueError):
+        near_dup.radius(50)
+
+
 # --- pipeline and queries ------------------------------------------------------------------------------------------------
 
 
