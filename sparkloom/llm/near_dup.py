@@ -18,7 +18,8 @@ order of rarity, both have one of those among their first |a| - that + 1 and |b|
 their own begin with shingles that no other has, so they meet nobody, however many there are.
 
 Defined results: a null or blank text has no shingle, n_shingles 0, and is linked with nothing. A row without an id is
-linked with nothing and kept. Rows that share an id count as one document with several texts. Ids are whole numbers.
+linked with nothing and kept. To near_duplicates rows that share an id are one document with several texts; keep_one
+judges each row. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -334,17 +335,19 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents without those that are not kept: one row of each class stays, the one with the least id.
 
-    Of several rows with one id the least by text stays. Ids to leave out are broadcast up to BROADCAST_IDS; more are
-    joined by a shuffle of the documents.
+    Rows are judged each on their own, also where an id repeats: of several rows of a class with one id the least by text stays.
+    Rows without an id or without a word stay. Rows to leave out are broadcast up to BROADCAST_IDS; more are joined by a
+    shuffle of the documents. Where an id repeats, the documents are cut once, so that each row has a number.
     """
-    judged = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).select("doc_id", "kept"))
-    out = judged.where("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    again = cut(judged.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id"))
-    out = F.broadcast(out) if judged.where("NOT kept").count() <= BROADCAST_IDS else out
-    same = F.col(id_col).cast("long") == F.col("__id")
-    kept = docs.join(out, same, "left_anti")
-    if again.isEmpty():
-        return kept
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).isNull(), text_col, F.xxhash64(*docs.columns))
-    repeated = kept.join(again, same, "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").drop("__row")
-    return kept.join(again, same, "left_anti").unionByName(repeated)
+    whole = F.col(id_col).cast("long")
+    if docs.where(whole.isNotNull()).groupBy(whole).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty():
+        judged = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).select("doc_id", "kept"))
+        out, same = judged.where("NOT kept").select(F.col("doc_id").alias("__id")), whole == F.col("__id")
+    else:
+        docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+        judged = near_duplicates(docs.where(whole.isNotNull()), id_col="__row", text_col=text_col, percent=percent).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
+        ranked = cut(judged.join(docs.select("__row", F.struct(whole, F.col(text_col), F.xxhash64(*[f"`{c}`" for c in docs.columns if c != "__row"]), "__row").alias("__order")), "__row"))
+        first = ranked.groupBy("component_id").agg(F.min("__order")["__row"].alias("__row"))
+        out, same = cut(ranked.join(first, "__row", "left_anti").select(F.col("__row").alias("__id"))), F.col("__row") == F.col("__id")
+    out = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
+    return docs.join(out, same, "left_anti").drop("__row")

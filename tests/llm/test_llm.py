@@ -515,6 +515,13 @@ def test_near_duplicates_at_a_lower_percent(spark):
         near_dup.radius(50)
 
 
+def test_rows_that_share_an_id_are_judged_each(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    rows = [(3, y), (5, x), (5, y), (9, x), (7, z), (7, z), (7, None), (7, ""), (None, x), (11, z + " end")]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(3, y), (5, x), (7, z), (7, None), (7, ""), (None, x)]) and kept.columns == ["doc_id", "text"]
+
+
 # --- pipeline and queries ------------------------------------------------------------------------------------------------
 
 
