@@ -6,7 +6,11 @@ of pieces, found for all items at once by one automaton, miss no occurrence. A h
 neighbouring pieces: a group of p pieces must occur nearby with at most p - 1 edits, which Myers' bit-parallel distance
 decides; the root is the whole item.
 
-Defined results: null and empty texts hold nothing; null items and items of fewer than MIN_WORDS words are never sought.
+An item of fewer than MIN_WORDS words is sought without edits and between word borders, as with edits it would be found in much
+that has nothing to do with it.
+
+Defined results: null and empty texts hold nothing; null items and items of fewer than LEAST_WORDS words are never sought,
+as a word alone is vocabulary and no passage.
 Repeated items are found each. A pair of document and item gives one row, its nearest occurrence (ties: the earliest).
 Repeated documents are judged each on their own.
 """
@@ -25,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 ERROR_SHARE = 0.1
 MIN_WORDS = 8
+LEAST_WORDS = 2
 #: Characters of items sought in one pass over the documents; more items are sought in further passes.
 BLOCK_CHARS = 1_000_000
 
@@ -68,14 +73,19 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
 
 
 class Items:
-    """A block of test items: pieces in one automaton, and each item's tree of groups."""
+    """A block of test items: pieces in one automaton, and each item's tree of groups.
+
+    Items of fewer than ``min_words`` words occur without edits and between word borders only.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], min_words: int = 0) -> None:
         self.items = items
         self.cuts: list[list[int]] = []
+        self.short = [text.count(" ") + 1 < min_words for _, text in items]
+        self.allowed = [0 if s else budget(len(text)) for s, (_, text) in zip(self.short, items, strict=True)]
         places: dict[str, list[tuple[int, int]]] = {}
         for number, (_, text) in enumerate(items):
-            k = budget(len(text))
+            k = self.allowed[number]
             cuts = [len(text) * i // (k + 1) for i in range(k + 2)]
             self.cuts.append(cuts)
             for piece in range(k + 1):
@@ -108,6 +118,8 @@ class Items:
                 known = best.get(number)
                 if known and known[0] == 0:
                     continue
+                if self.short[number] and (text[origin - 1 : origin].strip() or text[last + 1 : last + 2].strip()):
+                    continue
                 found = (0, last + 1)
                 for a, b in self._climb(number, piece):
                     key = (number, a, b, origin)
@@ -126,7 +138,7 @@ class Items:
                     best[number] = found
         for number, (distance, end) in sorted(best.items()):
             item = self.items[number][1]
-            window = text[max(0, end - len(item) - budget(len(item))) : end]
+            window = text[max(0, end - len(item) - self.allowed[number]) : end]
             back = myers(item[::-1], window[::-1], distance)
             yield number, distance, end - (back[1] if back else len(item)), end
 
@@ -137,7 +149,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
     size = 0
     for i, text in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
         text = normal(text)
-        if text.count(" ") + 1 < MIN_WORDS:
+        if text.count(" ") + 1 < LEAST_WORDS:
             continue
         if size + len(text) > BLOCK_CHARS and block:
             yield block
@@ -168,15 +180,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
         def run(batches):
             if name not in _made:
                 _made.clear()
-                _made[name] = Items(shared.value)
+                _made[name] = Items(shared.value, MIN_WORDS)
             items = _made[name]
             for batch in batches:
                 rows = []
                 for row in range(batch.num_rows):
                     text = normal(batch.column(1)[row].as_py())
                     for number, distance, start, end in items.find(text):
-                        item_id, item = items.items[number]
-                        rows.append((batch.column(0)[row].as_py(), item_id, distance, budget(len(item)), start, end, text[start:end]))
+                        item_id = items.items[number][0]
+                        rows.append((batch.column(0)[row].as_py(), item_id, distance, items.allowed[number], start, end, text[start:end]))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
                 kinds = [batch.schema.field(0).type, item_type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                 if rows:
@@ -203,7 +215,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         def run(batches, shared=shared, name=name):
             if name not in _made:
                 _made.clear()
-                _made[name] = Items(shared.value)
+                _made[name] = Items(shared.value, MIN_WORDS)
             items = _made[name]
             for batch in batches:
                 column = batch.column(place)

@@ -277,6 +277,16 @@ def test_leaks_on_odd_rows(spark):
     assert decontaminate.leaks(none(spark), items).count() == 0 and decontaminate.leaks(docs, items.where("false")).count() == 0
 
 
+def test_short_items_are_found_between_word_borders(spark):
+    items = spark.createDataFrame([(1, "Who wrote Faust?"), (2, "two words"), (3, " .. ")], "item_id int, text string")
+    texts = ["who wrote faust", "So: WHO wrote, Faust (1808)", "who wrote fausts", "awho wrote faust; who wrote faust", "who wrot faust", "two wordsmiths", "in two words", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {tuple(r) for r in decontaminate.leaks(docs, items).collect()}
+    where = {0: (0, 15), 1: (3, 18), 3: (17, 32)}
+    assert got == {(d, 1, 0, 0, a, b, "who wrote faust") for d, (a, b) in where.items()} | {(6, 2, 0, 0, 3, 12, "two words")}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {2, 4, 5, 7, 8}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
     items = spark.createDataFrame([(i, f"item number {i} has these words and some {i * 7} more of them") for i in range(9)], "item_id int, text string")
