@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows in a file of a cut table.
 FILE_ROWS = 100_000
@@ -20,3 +21,28 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
     return (df if rows is None else df.repartition(1 + rows // FILE_ROWS)).checkpoint(eager=True)
+
+
+def components(edges: DataFrame, rows: int | None = None, most: int = 50) -> DataFrame:
+    """``node, component`` (the least node reachable) of all ends of ``lo, hi`` edges, by alternating large and small stars.
+
+    Each round is two aggregations and joins; rounds grow with the logarithm of the longest path. Every round is cut. ``rows`` is about how many
+    edges there are. Raises where the components have not settled after ``most`` rounds.
+    """
+    now = cut(edges.select(F.greatest("lo", "hi").alias("u"), F.least("lo", "hi").alias("v")).where("u <> v").distinct(), rows)
+    mark = None
+    for _ in range(most):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = cut(large, rows)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        now = cut(small, rows)
+        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if new == mark:
+            break
+        mark = new
+    else:
+        raise RuntimeError("components did not settle")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm._lineage import cut
 from sparkloom.llm._text import LOWER, WORDS, mix, segments, shingle_hashes, utf8, word_hashes
+from sparkloom.lineage import components
 
 SHINGLE = 5
 #: Links have 100 * intersection >= percent * union; this is the percent of op10.
@@ -236,31 +237,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("lo", "hi").join(a, "lo").join(b, "hi").where(_linked(inter, F.col("n_lo"), F.col("n_hi"), percent)).select("lo", "hi")
 
 
-def components(edges: DataFrame, rows: int, most: int = 50) -> DataFrame:
-    """``node, component`` (the least node reachable) of all ends of ``lo, hi`` edges, by alternating large and small stars.
-
-    Each round is two aggregations and joins; rounds grow with the logarithm of the longest path. Every round is cut. ``rows`` is about how many
-    edges there are.
-    """
-    now = cut(edges.select(F.greatest("lo", "hi").alias("u"), F.least("lo", "hi").alias("v")).where("u <> v").distinct(), rows)
-    mark = None
-    for _ in range(most):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large, rows)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small, rows)
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
-            break
-        mark = new
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
 def _prefix_pairs(members: DataFrame, sets: DataFrame, rows: int, percent: int) -> DataFrame:
     """Candidates ``lo, hi`` among members of large buckets, exactly. members: ``rep, component``."""
     known = members.join(sets.select(F.col("id").alias("rep"), "n", "shingles"), "rep")

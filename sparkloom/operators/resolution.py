@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import CASE_FOLDS, LONG_PLURALS, UNCLASSIFIED, canonical_json, normal_names, normal_type
 from sparkloom.functions.vectors import dot, norm
-from sparkloom.lineage import cut
+from sparkloom.lineage import components, cut
 
 TOP_K, MIN_CONFIDENCE, MIN_SIMILARITY = 10, 0.80, 0.80
 
@@ -383,19 +383,13 @@ def connected_entities(pairs: DataFrame, rounds: int = 30) -> DataFrame:
     """``id, entity_id``: a documented approximation of the fold for tables too large for it.
 
     Nodes linked by ``id, match_id`` pairs, directly or not, become one entity named by its least id. Unlike the fold it
-    does not look again at merged names, and order plays no part. The labels are joined and aggregated until they stay.
+    does not look again at merged names, and order plays no part. Rounds grow with the logarithm of the longest chain of
+    links; raises where ``rounds`` of them did not settle the entities.
     """
     both = pairs.select(F.col("id").alias("u"), F.col("match_id").alias("v"))
-    both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().persist()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l"))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        new = label.join(near, "u").select("u", F.least("l", "m").alias("l"), (F.col("m") < F.col("l")).alias("moved"))
-        new = cut(new)
-        label = new.select("u", "l")
-        if new.where("moved").isEmpty():
-            break
-    return label.select(F.col("u").alias("id"), F.col("l").alias("entity_id"))
+    found = components(both.select(F.col("u").alias("lo"), F.col("v").alias("hi")), most=rounds)
+    ids = both.select(F.col("u").alias("id")).unionByName(both.select(F.col("v").alias("id"))).where("id IS NOT NULL").distinct()
+    return ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("entity_id"))
 
 
 def oldest_first(nodes: DataFrame, order_col: str = "ord") -> DataFrame:

@@ -196,3 +196,10 @@ def test_bad_scopes(bad):
 
 def test_scopes():
     assert scopes.parse_scopes('{" Work ": "documents\\\\work/"}') == {"work": "documents/work"}
+
+
+def test_long_chains_are_one_entity(spark):
+    pairs = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(90)] + [("y", "y")], "id string, match_id string")
+    assert {r.id: r.entity_id for r in resolution.connected_entities(pairs).collect()} == {f"n{k:03}": "n000" for k in range(91)} | {"y": "y"}
+    with pytest.raises(RuntimeError):
+        resolution.connected_entities(pairs, rounds=1)
