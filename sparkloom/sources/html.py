@@ -1,8 +1,10 @@
-"""Graphs as HTML pages. A page is for people, so what is drawn is bounded; titles are made by Spark."""
+"""Graphs as HTML pages. Titles are made by Spark; a page is written row by row, so the driver holds one partition at a time."""
 
 from __future__ import annotations
 
 import json
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,6 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import escape_html
 
-#: Nodes of a page at most; a larger graph is drawn by its nodes with the most edges, and the page says so.
-DRAWN = 5000
-
 
 def title(fields: list[tuple[str, Column]]) -> Column:
     """Escaped ``name: value`` lines of a hover text."""
@@ -26,18 +25,26 @@ def node_titles(nodes: DataFrame) -> DataFrame:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str | Path) -> Path:
-    """One page with the graph's nodes and edges."""
+    """One page with all nodes, those with the most edges first, and all edges between them."""
     degree = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    chosen = nodes.join(degree, "id", "left").orderBy(F.desc_nulls_last("d"), "id").limit(DRAWN)
-    drawn = [r.asDict() for r in node_titles(chosen).collect()]
-    ids = chosen.select("id")
+    drawn = node_titles(nodes.join(degree, "id", "left").orderBy(F.desc_nulls_last("d"), "id"))
+    ids = nodes.select("id")
     lines = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    links = [r.asDict() for r in lines.select("id", "from_id", "to_id", "label").limit(10 * DRAWN).collect()]
+    lines = lines.select("id", "from_id", "to_id", "label").orderBy("id", "from_id", "to_id", "label")
     place = Path(path)
     place.parent.mkdir(parents=True, exist_ok=True)
-    data = json.dumps({"nodes": drawn, "edges": links, "drawn_at_most": DRAWN}).replace("</", "<\\/")
-    rows = "".join(f'<li title="{n["title"].replace(chr(34), "&quot;")}">{n["label"]}</li>' for n in drawn)
-    place.write_text(f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>Graph</title></head><body><ul>{rows}</ul><script type="application/json" id="graph">{data}</script></body></html>', encoding="utf-8")
+    with tempfile.TemporaryFile("w+", encoding="utf-8") as data, place.open("w", encoding="utf-8") as page:
+        page.write('<!DOCTYPE html><html><head><meta charset="utf-8"><title>Graph</title></head><body><ul>')
+        for k, n in enumerate(drawn.toLocalIterator()):
+            page.write(f'<li title="{n["title"].replace(chr(34), "&quot;")}">{n["label"]}</li>')
+            data.write(", " * (k > 0) + json.dumps(n.asDict()).replace("</", "<\\/"))
+        page.write('</ul><script type="application/json" id="graph">{"nodes": [')
+        data.seek(0)
+        shutil.copyfileobj(data, page)
+        page.write('], "edges": [')
+        for k, e in enumerate(lines.toLocalIterator()):
+            page.write(", " * (k > 0) + json.dumps(e.asDict()).replace("</", "<\\/"))
+        page.write("]}</script></body></html>")
     return place
 
 

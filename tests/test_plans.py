@@ -1,5 +1,8 @@
 """Building, maintaining and searching a knowledge base; the agent; the stream."""
 
+import json
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +89,15 @@ def test_html(spark, tmp_path):
     assert "&lt;" not in page.split("<script")[0].split("title=")[0] and '"label": "<A>"' in page
 
 
+def test_html_holds_the_whole_graph(spark, tmp_path):
+    nodes = spark.range(5100).selectExpr("cast(id AS string) id", "'</n>' label", "'tool' type", "cast(null AS string) suggested_type", "array('c') chunk_ids", "'{}' properties")
+    edges = spark.range(50500).selectExpr("concat('e', id) id", "cast(id % 5100 AS string) from_id", "cast(id * 7 % 5100 AS string) to_id", "'uses' label")
+    page = write_graph(nodes, edges, tmp_path / "g.html").read_text(encoding="utf-8")
+    graph = json.loads(re.search(r'id="graph">(.*?)</script>', page, re.S)[1])
+    assert len({n["id"] for n in graph["nodes"]}) == len(graph["nodes"]) == page.count("<li ") == 5100 and graph["nodes"][0]["label"] == "</n>"
+    assert len({e["id"] for e in graph["edges"]}) == len(graph["edges"]) == 50500
+
+
 class Script:
     """A model that answers from lists."""
 
