@@ -1,11 +1,15 @@
 """TIFF as a media column: a reader that emits one row per page, and a writer for lossless 8-bit samples.
 
-The reader walks the chain of image directories of either byte order, decodes strips and tiles stored plainly or as
-PackBits, LZW or deflate, undoes the horizontal predictor, and crops tiles to the page.
+The reader walks the chain of image directories of either byte order, of TIFF and BigTIFF, decodes strips and tiles stored
+plainly or as PackBits, LZW or deflate, by pixel or by plane, undoes the horizontal predictor, and crops tiles to the page.
+Samples have 1, 4, 8 or 16 bits; those of 1 and 4 bits become bytes, those of 16 bits little-endian pairs of bytes.
 
-Defined results: a null or empty media value, and one that is not TIFF, give no page; a damaged one gives its pages
-until the damage and then one row whose ``error`` tells why, with null samples. Directory loops end the walk. Columns of
-the input with the names of page columns are replaced.
+Defined results: a null or empty media value, and one that is not TIFF, give no page; a page that is not supported gives a
+row whose ``error`` tells why, with null samples, and the walk goes on; a damaged one gives its pages until the damage and
+then one such row. Directory loops end the walk. Columns of the input with the names of page columns are replaced.
+
+Not supported: other bit depths and samples of mixed depth, floating-point samples, the predictor with 1 or 4 bits, other
+predictors and compressions (CCITT, JPEG), reversed bit order.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Fixed values of the format: tags, field widths and compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 273, 277, 278, 279
+FILL_ORDER, PLANES, SAMPLE_FORMAT = 266, 284, 339
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
-FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 #: Payloads are padded with PAD to a positive multiple of UNIT, which is also the width of a stored page.
@@ -146,6 +151,10 @@ def _pack(data: bytes, compression: int) -> bytes:
     raise ValueError(f"compression {compression} is not supported")
 
 
+class Unsupported(ValueError):
+    """A page that is sound but of a kind that is not decoded."""
+
+
 def _unpack(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         return data[:size]
@@ -155,7 +164,7 @@ def _unpack(data: bytes, compression: int, size: int) -> bytes:
         return lzw_decode(data, size)
     if compression in (DEFLATE, OLD_DEFLATE):
         return zlib.decompressobj().decompress(data, size)
-    raise ValueError(f"compression {compression} is not supported")
+    raise Unsupported(f"compression {compression} is not supported")
 
 
 @dataclass
@@ -168,69 +177,103 @@ class Page:
     predictor: int
     tiled: bool
     pixels: np.ndarray
+    bits: int = 8
 
 
-def _directory(blob: bytes, order: str, at: int) -> tuple[dict[int, list[int]], int]:
-    (n,) = struct.unpack_from(f"{order}H", blob, at)
+def _directory(blob: bytes, order: str, at: int, big: bool) -> tuple[dict[int, list[int]], int]:
+    count_form, offset, entry = ("Q", "Q", 20) if big else ("H", "I", 12)
+    head, room = struct.calcsize(f"{order}{count_form}"), struct.calcsize(f"{order}{offset}")
+    (n,) = struct.unpack_from(f"{order}{count_form}", blob, at)
     tags: dict[int, list[int]] = {}
     for k in range(n):
-        tag, kind, count = struct.unpack_from(f"{order}HHI", blob, at + 2 + 12 * k)
+        tag, kind, count = struct.unpack_from(f"{order}HH{offset}", blob, at + head + entry * k)
         width = FIELD_BYTES.get(kind, 1)
-        place = at + 10 + 12 * k
-        if width * count > 4:
-            (place,) = struct.unpack_from(f"{order}I", blob, place)
-        form = {1: "B", 3: "H", 4: "I"}.get(kind)
+        place = at + head + entry * k + 4 + room
+        if width * count > room:
+            (place,) = struct.unpack_from(f"{order}{offset}", blob, place)
+        form = {1: "B", 3: "H", 4: "I", 16: "Q"}.get(kind)
         if form:
             if place + width * count > len(blob):
                 raise ValueError("a field lies beyond the end")
             tags[tag] = list(struct.unpack_from(f"{order}{count}{form}", blob, place))
-    (after,) = struct.unpack_from(f"{order}I", blob, at + 2 + 12 * n)
+    (after,) = struct.unpack_from(f"{order}{offset}", blob, at + head + entry * n)
     return tags, after
 
 
-def _block(blob: bytes, at: int, size: int, rows: int, cols: int, samples: int, compression: int, predictor: int) -> np.ndarray:
-    raw = _unpack(blob[at : at + size], compression, rows * cols * samples)
-    if len(raw) != rows * cols * samples:
+def _block(blob: bytes, at: int, size: int, rows: int, cols: int, samples: int, compression: int, predictor: int, bits: int = 8, order: str = "<") -> np.ndarray:
+    stride = (cols * samples * bits + 7) // 8
+    raw = _unpack(blob[at : at + size], compression, rows * stride)
+    if len(raw) != rows * stride:
         raise ValueError("a strip or tile is too short")
-    grid = np.frombuffer(raw, np.uint8).reshape(rows, cols, samples)
-    if predictor == 2:
-        return np.cumsum(grid, axis=1, dtype=np.uint8)
-    if predictor != 1:
-        raise ValueError(f"predictor {predictor} is not supported")
-    return grid
+    grid = np.frombuffer(raw, np.uint8)
+    if bits < 8:
+        grid = np.unpackbits(grid).reshape(rows, stride * 8 // bits, bits)[:, : cols * samples]
+        grid = np.packbits(grid, axis=2) >> (8 - bits)
+    elif bits == 16:
+        grid = grid.view(f"{order}u2").astype("<u2")
+    grid = grid.reshape(rows, cols, samples)
+    return np.cumsum(grid, axis=1, dtype=grid.dtype) if predictor == 2 else grid
+
+
+def _image(blob: bytes, order: str, tags: dict[int, list[int]], index: int) -> Page:
+    one = lambda tag, default=None: tags.get(tag, [default])[0]
+    width, height, samples, depths = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), set(tags.get(BITS, [1]))
+    if not width or not height:
+        raise ValueError("a page without a size")
+    bits, compression, predictor, tiled = min(depths), one(COMPRESSION, NONE), one(PREDICTOR, 1), TILE_OFFSETS in tags
+    if len(depths) > 1 or bits not in (1, 4, 8, 16):
+        raise Unsupported(f"samples of {sorted(depths)} bits are not supported")
+    if bits == 16 and one(SAMPLE_FORMAT, 1) == 3:
+        raise Unsupported("floating-point samples are not supported")
+    if predictor not in (1, 2) or (predictor == 2 and bits < 8):
+        raise Unsupported(f"predictor {predictor} is not supported with {bits} bits")
+    if one(FILL_ORDER, 1) != 1:
+        raise Unsupported("reversed bit order is not supported")
+    if compression not in (NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS):
+        raise Unsupported(f"compression {compression} is not supported")
+    planes = samples if one(PLANES, 1) == 2 else 1
+    image = np.empty((height, width, samples), "<u2" if bits == 16 else np.uint8)
+    places, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+    th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
+    across = -(-width // tw)
+    each = across * -(-height // th)
+    if len(places) < each * planes:
+        raise ValueError("strips or tiles are missing")
+    for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
+        plane, y, x = k // each, k % each // across * th, k % across * tw
+        if plane >= planes:
+            break
+        rows = th if tiled else min(th, height - y)
+        part = _block(blob, place, size, rows, tw, samples // planes, compression, predictor, bits, order)[: height - y, : width - x]
+        image[y : y + th, x : x + tw, plane : plane + 1 if planes > 1 else samples] = part
+    return Page(index, width, height, samples, compression, predictor, tiled, image, bits)
 
 
-def read_pages(blob: bytes | None) -> Iterator[Page]:
-    """The pages of a TIFF file with 8-bit samples, in the order of its directories."""
-    if not blob or len(blob) < 8 or blob[:4] not in (b"II*\0", b"MM\0*"):
+def _walk(blob: bytes | None) -> Iterator[Page | Unsupported]:
+    if not blob or len(blob) < 8 or blob[:4] not in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+"):
         return
-    order = "<" if blob[:1] == b"I" else ">"
-    (at,) = struct.unpack_from(f"{order}I", blob, 4)
+    order, big = "<" if blob[:1] == b"I" else ">", b"+" in blob[2:4]
+    (at,) = struct.unpack_from(f"{order}Q", blob, 8) if big else struct.unpack_from(f"{order}I", blob, 4)
     seen, index = set(), 0
     while at and at not in seen:
         seen.add(at)
-        tags, at = _directory(blob, order, at)
-        one = lambda tag, default=None: tags.get(tag, [default])[0]
-        width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-        if not width or not height or set(tags.get(BITS, [1])) != {8}:
-            raise ValueError("only pages of 8-bit samples are supported")
-        compression, predictor, tiled = one(COMPRESSION, NONE), one(PREDICTOR, 1), TILE_OFFSETS in tags
-        image = np.empty((height, width, samples), np.uint8)
-        if tiled:
-            tw, th = one(TILE_WIDTH), one(TILE_HEIGHT)
-            across = -(-width // tw)
-            for k, (place, size) in enumerate(zip(tags[TILE_OFFSETS], tags[TILE_BYTES], strict=True)):
-                y, x = k // across * th, k % across * tw
-                image[y : y + th, x : x + tw] = _block(blob, place, size, th, tw, samples, compression, predictor)[: height - y, : width - x]
-        else:
-            rows = min(one(ROWS_PER_STRIP, height), height)
-            for k, (place, size) in enumerate(zip(tags[STRIP_OFFSETS], tags[STRIP_BYTES], strict=True)):
-                y = k * rows
-                image[y : y + rows] = _block(blob, place, size, min(rows, height - y), width, samples, compression, predictor)
-        yield Page(index, width, height, samples, compression, predictor, tiled, image)
+        tags, at = _directory(blob, order, at, big)
+        try:
+            page = _image(blob, order, tags, index)
+        except Unsupported as e:
+            page = e
+        yield page
         index += 1
 
 
+def read_pages(blob: bytes | None) -> Iterator[Page]:
+    """The pages of a TIFF file in the order of its directories; raises at one that is not supported."""
+    for page in _walk(blob):
+        if isinstance(page, Unsupported):
+            raise page
+        yield page
+
+
 def write_pages(pages: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = PAGE_ROWS, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
     """A TIFF file with one page for each array of 8-bit samples (rows, columns, samples)."""
     out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + b"\0" * 4)
@@ -290,23 +333,26 @@ def store(data: bytes) -> bytes:
     return write_pages([grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)])
 
 
-PAGE_FIELDS = [("page", pa.int32()), ("page_width", pa.int32()), ("page_height", pa.int32()), ("page_samples", pa.int32()), ("page_compression", pa.int32()), ("page_predictor", pa.int32()), ("page_tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())]
+PAGE_FIELDS = [("page", pa.int32()), ("page_width", pa.int32()), ("page_height", pa.int32()), ("page_samples", pa.int32()), ("page_compression", pa.int32()), ("page_predictor", pa.int32()), ("page_tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string()), ("page_bits", pa.int32())]
 
 
 def page_rows(blob: bytes | None) -> Iterator[tuple]:
     index = 0
     try:
-        for p in read_pages(blob):
-            index = p.index + 1
-            yield p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None
+        for p in _walk(blob):
+            index += 1
+            if isinstance(p, Unsupported):
+                yield (index - 1, None, None, None, None, None, None, None, str(p), None)
+                continue
+            yield p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None, p.bits
     except (ValueError, KeyError, struct.error, zlib.error, TypeError) as e:
-        yield (index, None, None, None, None, None, None, None, str(e))
+        yield (index, None, None, None, None, None, None, None, str(e), None)
 
 
 def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
     """One row per page of the TIFF files in ``media_col``, with the input's other columns.
 
-    Adds ``page, page_width, page_height, page_samples, page_compression, page_predictor, page_tiled, pixels, error``;
+    Adds ``page, page_width, page_height, page_samples, page_compression, page_predictor, page_tiled, pixels, error, page_bits``;
     pixels are the samples by row. Narrow: no shuffle, one media value and its pages in memory at a time.
     """
     names = {n for n, _ in PAGE_FIELDS}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -125,6 +126,50 @@ def test_shards_on_odd_rows(spark):
 # --- op3 -----------------------------------------------------------------------------------------------------------------
 
 
+def tiff_file(pages, order="<", big=False):
+    """A file of directories (tags, blocks), made by hand; the blocks' places and sizes are added to the tags."""
+    out, link = bytearray(b"II" if order == "<" else b"MM"), 8 if big else 4
+    out += struct.pack(f"{order}HHHQ", 43, 8, 0, 0) if big else struct.pack(f"{order}HI", 42, 0)
+    word, unit, room = ("Q", 16, 8) if big else ("I", 4, 4)
+    for tags, blocks in pages:
+        places = []
+        for b in blocks:
+            places.append(len(out))
+            out += b
+        entries = bytearray()
+        fields = {**tags, 273: places, 279: [len(b) for b in blocks]}
+        for tag, values in sorted(fields.items()):
+            raw = struct.pack(f"{order}{len(values)}{word}", *values)
+            if len(raw) > room:
+                raw, at = struct.pack(f"{order}{word}", len(out)), raw
+                out += at
+            entries += struct.pack(f"{order}HH{word}", tag, unit, len(values)) + raw
+        struct.pack_into(f"{order}{word}", out, link, len(out))
+        out += struct.pack(f"{order}{'Q' if big else 'H'}", len(fields)) + entries
+        link = len(out)
+        out += struct.pack(f"{order}{word}", 0)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_pages_of_other_depths(order, big):
+    wide = np.arange(12, dtype=np.uint16).reshape(2, 3, 2) * 5003
+    pages = [
+        ({256: [10], 257: [2], 258: [1]}, [bytes([0b10110011, 0b01000000, 0b00000001, 0b10000000])]),
+        ({256: [3], 257: [2], 258: [4], 278: [1]}, [bytes([0x1F, 0xA0]), bytes([0x23, 0x40])]),
+        ({256: [9], 257: [9], 258: [8], 259: [7]}, [b"jpeg"]),
+        ({256: [3], 257: [2], 258: [16, 16], 277: [2], 259: [tiff.DEFLATE], 317: [2]}, [zlib.compress(np.diff(wide, axis=1, prepend=np.zeros_like(wide[:, :1])).astype(f"{order}u2").tobytes())]),
+        ({256: [2], 257: [2], 258: [8, 8, 8], 277: [3], 278: [1], 284: [2]}, [bytes([10 * k, 10 * k + 1]) for k in range(6)]),
+    ]
+    got = list(tiff.page_rows(tiff_file(pages, order, big)))
+    assert [r[0] for r in got] == [0, 1, 2, 3, 4] and [r[8] for r in got] == [None, None, "compression 7 is not supported", None, None]
+    assert [r[9] for r in got] == [1, 4, None, 16, 8]
+    assert list(got[0][7]) == [1, 0, 1, 1, 0, 0, 1, 1, 0, 1, 0, 0, 0, 0, 0, 0, 0, 1, 1, 0]
+    assert list(got[1][7]) == [1, 15, 10, 2, 3, 4] and got[3][7] == wide.astype("<u2").tobytes()
+    assert list(got[4][7]) == [0, 20, 40, 1, 21, 41, 10, 30, 50, 11, 31, 51]
+
+
 @pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 @pytest.mark.parametrize("predictor", [1, 2])
 @pytest.mark.parametrize("tile", [None, (16, 32)])
