@@ -5,7 +5,8 @@ and word q of a template votes for the diagonal p - q, where the template would
 diagonals of one template that lie within SLACK words are one occurrence with words put in or left out. An occurrence is
 verified on the words themselves and by the share of the template's pairs that voted.
 
-Built-in expressions only. Words and hashes live inside one row; what is shuffled is one small row per text and one per hit.
+Built-in expressions only. Words and hashes live inside one row, which only the pairs that templates have leave, with the words
+around them; what is shuffled is one small row per text and one per hit, added up before. Time grows with the length of a text.
 
 Defined results: a null text is an empty one, with no words, no labels, null places and score 0. Repeated rows are each
 returned. A base phrase is found wherever its words stand one after the other, also where places overlap.
@@ -38,16 +39,24 @@ BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general p
 # Well-known sentences of public licences and notices, in lower case.
 ADDED = [
     ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit-grant", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit-grant", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit-notice", "released under the mit license"),
     ("apache-notice", "licensed under the apache license version 2 0"),
+    ("apache-notice", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-notice", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
     ("gpl-notice", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl-notice", "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("gpl-version", "gnu general public license version"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc", "this work is licensed under a creative commons attribution"),
     ("cc-notice", "licensed under cc by"),
     ("warranty", "the software is provided as is without warranty of any kind express or implied"),
+    ("warranty", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise"),
     ("rights", "all rights reserved"),
 ]
 TEMPLATES = [Template(label, tuple(text.split()), True) for label, text in BASE] + [Template(label, tuple(text.split())) for label, text in ADDED]
@@ -79,16 +88,28 @@ def scan(docs: DataFrame, templates: list[Template] | None = None, *, id_col: st
     key = ["doc_id", "text_hash"]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), words(F.col(text_col)).alias("w"))
     n = F.size("w")
-    pairs = F.when(n > 1, F.zip_with(F.slice("w", F.lit(1), n - 1), F.slice("w", F.lit(2), F.greatest(n - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
-    grams = texts.select(*key, "w", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), pairs)).alias("p", "gram"))
+    hashes = F.when(n > 1, F.zip_with(F.slice("w", F.lit(1), n - 1), F.slice("w", F.lit(2), F.greatest(n - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    paired = texts.select(*key, "w", hashes.alias("pairs"))
+    # Only pairs that some template has leave the row, each with the words around it, so a text costs time by its length.
+    reach = max((len(t.words) for t in templates), default=0) + SLACK
+    grams = list(dict.fromkeys(pair for t in templates for pair in zip(t.words, t.words[1:], strict=False)))
+    known = lambda g: g.isin(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in grams]) if grams else F.lit(False)
+    places = F.filter(F.transform("pairs", lambda g, i: F.when(known(g), F.struct((i + 1).alias("p"), g.alias("gram")))), lambda h: h.isNotNull())
+    placed = paired.select(*key, "w", F.size("w").alias("n_words"), places.alias("places"))
+    first = lambda h: F.greatest(h["p"] - reach, F.lit(1))
+    seen = F.transform("places", lambda h: F.struct(h["p"].alias("p"), h["gram"].alias("gram"), first(h).alias("first"), F.slice("w", first(h), F.lit(2 * reach)).alias("near")))
+    itself = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).cast("long").alias("gram"), F.lit(1).alias("first"), F.array().cast("array<string>").alias("near")))
+    found = placed.select(*key, "n_words", F.explode(F.concat(itself, seen)).alias("h")).select(*key, "n_words", "h.*")
     # The templates are a list in this file (or a short one given), so their pairs may be broadcast.
-    hits = grams.join(F.broadcast(template_pairs(spark, templates)), "gram").where("(p = 0) = (template < 0)")
+    hits = found.join(F.broadcast(template_pairs(spark, templates)), "gram").where("(p = 0) = (template < 0)")
     diagonal = (F.col("p") - 1 - F.col("q")).alias("diagonal")
-    here = F.when((F.col("template") >= 0) & (F.col("p") - 1 - F.col("q") >= 0), F.slice("w", F.greatest(F.col("p") - F.col("q"), F.lit(1)), F.col("width"))).alias("here")
-    around = F.slice("w", F.greatest(F.col("p") - F.col("q") - SLACK, F.lit(1)), F.col("width") + 2 * SLACK)
+    begin = F.col("p") - F.col("q")
+    here = F.when((F.col("template") >= 0) & (begin >= 1), F.slice("near", F.greatest(begin - F.col("first") + 1, F.lit(1)), F.col("width")))
+    around = F.slice("near", F.greatest(F.greatest(begin - SLACK, F.lit(1)) - F.col("first") + 1, F.lit(1)), F.col("width") + 2 * SLACK)
     held = F.when(F.col("template") >= 0, F.size(F.array_intersect("tokens", around)) / F.size(F.array_distinct("tokens"))).alias("held")
-    hits = hits.select(*key, F.size("w").alias("n_words"), "template", "q", "width", diagonal, (here == F.col("tokens")).alias("same"), held)
-    votes = hits.repartition(*key).groupBy(*key, "template", "diagonal").agg(F.max("n_words").alias("n_words"), F.max("width").alias("width"), F.collect_set("q").alias("q"), F.max("same").alias("same"), F.max("held").alias("held"), F.count(F.lit(1)).alias("n"))
+    hits = hits.select(*key, "n_words", "template", "q", "width", diagonal, (here == F.col("tokens")).alias("same"), held)
+    # Votes of equal rows are added up before they meet.
+    votes = hits.groupBy(*key, "template", "diagonal").agg(F.max("n_words").alias("n_words"), F.max("width").alias("width"), F.collect_set("q").alias("q"), F.max("same").alias("same"), F.max("held").alias("held"), F.count(F.lit(1)).alias("n")).repartition(*key)
     line = Window.partitionBy(*key, "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(line) > SLACK).cast("int")
     votes = votes.withColumn("run", F.sum(F.coalesce(apart, F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
