@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -252,22 +253,45 @@ def machine():
     return token_count.Transducer(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_token_counts_equal_the_library(machine):
+def test_token_counts_equal_the_library(machine, monkeypatch):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     random.seed(1)
-    bits = ["a", " ", "  ", "\n", "'s", "'ll", "é", "ñ", "1", "23", "!", "…", "the", "ing", "\t", chr(0xA0), "<|endoftext|>", chr(0x1F600), "AB", chr(0x3000), "re", "'"]
-    for _ in range(1500):
-        text = "".join(random.choice(bits) for _ in range(random.randint(0, 60)))
-        expected = len(library.encode(text, add_special_tokens=False).ids)
-        assert {machine.count(text), machine.count(text, 7), machine.count(text, 20)} == {expected}
-    for text in (LONG, "x" * 5000, "ab" * 3000 + " ", " " * 3000, "é" * 700):
-        assert machine.count(text, 1000) == machine.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    bits = ["a", " ", "  ", "\n", "'s", "'ll", "é", "ñ", "1", "23", "!", "…", "the", "ing", "\t", chr(0xA0), "<|endoftext|>", chr(0x1F600), "AB", chr(0x3000), "re", "'", "'v", "漢字"]
+    texts = ["".join(random.choice(bits) for _ in range(random.randint(0, 60))) for _ in range(1500)]
+    texts += [LONG, "x" * 5000, "ab" * 3000 + " ", " " * 3000, "é" * 700, "=-" * 900, "".join(random.choice("abcdefgh") for _ in range(9000)), "'s" * 300]
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    for chunk, step in ((64, 1 << 19), (7, 1 << 19), (3, 50), (64, 700)):
+        monkeypatch.setattr(token_count, "CHUNK", chunk)
+        monkeypatch.setattr(token_count, "STEP", step)
+        assert machine.counts(data, offsets).tolist() == expected
+
+
+def test_word_beginnings_equal_the_pattern(machine):
+    pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    random.seed(2)
+    for _ in range(3000):
+        text = "".join(random.choice("a'strevld1 \n\t!" + chr(0xA0) + "é") for _ in range(random.randint(1, 14)))
+        data = text.encode()
+        got = machine.begins(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert np.flatnonzero(got).tolist() == [len(text[: m.start()].encode()) for m in pattern.finditer(text)], text
+
+
+def test_chunk_maps_compose(machine):
+    text = "".join(random.Random(4).choice("abcdefgh") for _ in range(900)).encode()
+    data, begins = np.frombuffer(text, np.uint8), np.zeros(900, bool)
+    whole, end = machine.run(data, begins)
+    for cut in (1, 63, 64, 65, 500, 899):
+        left, middle = machine.run(data[:cut], begins[:cut])
+        right, last = machine.run(data[cut:], begins[cut:], middle)
+        assert last == end and np.r_[left, right].tolist() == whole.tolist()
 
 
 def test_kept_states_do_not_matter(machine, monkeypatch):
-    texts = [" ".join(f"word{i}{j}" for j in range(30)) for i in range(30)]
+    texts = [" ".join(f"word{i}{j}" for j in range(30)) for i in range(30)] + ["abcdefg" * 2000]
     expected = [machine.count(t) for t in texts]
     monkeypatch.setattr(token_count, "KEPT", 20)
+    monkeypatch.setattr(token_count, "STEP", 1000)
     machine._clear()
     assert [machine.count(t) for t in texts] == expected
 
@@ -437,6 +461,13 @@ def test_licence_texts_with_gaps(spark):
     assert got == {1: "mit-grant", 2: "mit,mit-notice", 3: ""}
 
 
+def test_licences_in_a_long_text(spark):
+    text = "the quick fox of this software " * 25_000 + "released under the mit license " + "general public license " * 20_000
+    r = license_scan.labelled(spark.createDataFrame([(1, text), (None, "mit license"), (None, "mit license")], "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [x.labels for x in r] == ["mit", "mit", "gpl,mit,mit-notice"]
+    assert (r[2].n_words, r[2].n_base, r[2].first_word, r[2].last_word) == (150_005 + 60_000, 20_001, 150_003, 150_005 + 60_000 - 3)
+
+
 def test_licences_on_odd_rows(spark):
     got = license_scan.labelled(odd(spark))
     assert got.count() == 9 and got.where("doc_id = 7").count() == 2 and license_scan.labelled(none(spark)).count() == 0
