@@ -55,13 +55,13 @@ _TEMPLATES = ", ".join(f"({k}, '{t.label}', {t.exact}, {list(t.words)})" for k,
 _SLACK = license_scan.SLACK
 
 _LICENSE = f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents),
- tp AS (SELECT * FROM (VALUES {_TEMPLATES}) v(t, label, exact, tok)), tg AS (SELECT *, tok[q + 1] x, tok[q + 2] y FROM (SELECT *, unnest(range(0, len(tok) - 1)) q FROM tp)),
- p AS (SELECT doc_id, w, i, w[i + 1] x, w[i + 2] y FROM (SELECT *, unnest(range(0, len(w) - 1)) i FROM w)),
+ tp AS (SELECT * FROM (VALUES {_TEMPLATES}) v(t, label, exact, tok)), tg AS (SELECT *, tok[q + 1] x, tok[q + 2] y, CASE WHEN NOT exact THEN tok[q + 3] END z FROM (SELECT *, unnest(range(0, len(tok) - CASE WHEN exact THEN 1 ELSE 2 END)) q FROM tp)),
+ p AS (SELECT doc_id, w, i, w[i + 1] x, w[i + 2] y, w[i + 3] z FROM (SELECT *, unnest(range(0, len(w) - 1)) i FROM w)),
  hit AS (SELECT doc_id, t, label, exact, len(tok) width, q, i - q dg, i - q >= 0 AND w[greatest(i - q + 1, 1):i - q + len(tok)] = tok same,
- len(list_intersect(list_distinct(tok), w[greatest(i - q + 1 - {_SLACK}, 1):greatest(i - q + 1 - {_SLACK}, 1) + len(tok) + {2 * _SLACK} - 1]))::DOUBLE / len(list_distinct(tok)) held FROM p JOIN tg ON p.x = tg.x AND p.y = tg.y),
+ len(list_intersect(list_distinct(tok), w[greatest(i - q + 1 - {_SLACK}, 1):greatest(i - q + 1 - {_SLACK}, 1) + len(tok) + {2 * _SLACK} - 1]))::DOUBLE / len(list_distinct(tok)) held FROM p JOIN tg ON p.x = tg.x AND p.y = tg.y AND (tg.z IS NULL OR p.z = tg.z)),
  vt AS (SELECT doc_id, t, label, exact, width, dg, list(DISTINCT q) q, bool_or(same) same, max(held) held FROM hit GROUP BY ALL),
  rn AS (SELECT *, sum(CASE WHEN dg - prev > {_SLACK} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, t ORDER BY dg ROWS UNBOUNDED PRECEDING) run FROM (SELECT *, lag(dg) OVER (PARTITION BY doc_id, t ORDER BY dg) prev FROM vt)),
- oc AS (SELECT doc_id, label, exact, len(list_distinct(flatten(list(q))))::DOUBLE / (width - 1) share, max(held) held, count(*) FILTER (WHERE same) n, min(dg) FILTER (WHERE same) lo, max(dg) FILTER (WHERE same) hi FROM rn GROUP BY doc_id, t, label, exact, width, run),
+ oc AS (SELECT doc_id, label, exact, len(list_distinct(flatten(list(q))))::DOUBLE / (width - CASE WHEN exact THEN 1 ELSE 2 END) share, max(held) held, count(*) FILTER (WHERE same) n, min(dg) FILTER (WHERE same) lo, max(dg) FILTER (WHERE same) hi FROM rn GROUP BY doc_id, t, label, exact, width, run),
  kd AS (SELECT *, exact AND n > 0 base, NOT exact AND share >= {license_scan.VOTES} AND held >= {license_scan.HELD} near FROM oc),
  ag AS (SELECT doc_id, sum(n) FILTER (WHERE base) n_base, min(lo) FILTER (WHERE base) f, max(hi) FILTER (WHERE base) l, array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base))), ',') bl,
  array_to_string(list_sort(list_distinct(list(label) FILTER (WHERE base OR near))), ',') al, max(CASE WHEN base THEN 1.0::DOUBLE WHEN near THEN share ELSE 0 END) score FROM kd GROUP BY doc_id)
