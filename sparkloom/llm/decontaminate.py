@@ -30,8 +30,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 ERROR_SHARE = 0.1
 MIN_WORDS = 8
 LEAST_WORDS = 2
-#: Characters of items sought in one pass over the documents; more items are sought in further passes.
-BLOCK_CHARS = 1_000_000
+#: Characters of items in one automaton (some 100 bytes each in memory), and automata that a worker keeps.
+BLOCK_CHARS, HELD_BLOCKS = 2_000_000, 2
+#: Blocks sought in one pass over the documents, which bounds what is broadcast; more items are sought in further passes.
+PASS_BLOCKS = 32
+#: Bytes of documents that are gone through together, and where a worker cannot keep all automata of a pass.
+PART_BYTES, TOGETHER_BYTES = 1 << 20, 32 << 20
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -144,7 +148,7 @@ class Items:
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items that are sought, in blocks of bounded size; the driver holds one at a time."""
+    """The items that are sought, in blocks of bounded size; the driver holds one pass of them at a time."""
     block: list[tuple[int, str]] = []
     size = 0
     for i, text in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
@@ -159,44 +163,85 @@ def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[
     yield block
 
 
-_made: dict[str, Items] = {}
+def passes(items: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
+    """Blocks as broadcasts, those of one pass over the documents together: at most PASS_BLOCKS * BLOCK_CHARS characters."""
+    spark, waiting = items.sparkSession, []
+    for block in blocks(items, id_col, text_col):
+        waiting.append(spark.sparkContext.broadcast(block))
+        if len(waiting) == PASS_BLOCKS:
+            yield waiting
+            waiting = []
+    if waiting:
+        yield waiting
+
+
+class Held:
+    """The automata of a pass, made when asked for; a worker keeps HELD_BLOCKS of them, the last ones used."""
+
+    made: dict[tuple, Items] = {}
+
+    def __init__(self, shared: list) -> None:
+        self.shared = shared
+
+    def __iter__(self) -> Iterator[Items]:
+        for place in self.shared:
+            block = place.value
+            name = (len(block), hash(tuple(block)))
+            items = Held.made.pop(name, None) or Items(block, MIN_WORDS)
+            Held.made[name] = items
+            while len(Held.made) > HELD_BLOCKS:
+                del Held.made[next(iter(Held.made))]
+            yield items
+
+
+def _together(batches: Iterator[pa.RecordBatch], held: Held) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of PART_BYTES, or, where automata have to be made anew, many at once so that each is made seldom."""
+    if len(held.shared) <= HELD_BLOCKS:
+        for batch in batches:
+            step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+            for first in range(0, batch.num_rows, step):
+                yield batch.slice(first, step)
+        return
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= TOGETHER_BYTES:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, size = [], 0
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, distance, allowed, start, end, passage`` for each document that holds an item.
 
-    Positions and the passage are those of the normalised text. Narrow: documents are not shuffled; each block of items is
-    broadcast at a bounded size and costs one pass.
+    Positions and the passage are those of the normalised text. Narrow: documents are not shuffled; items are broadcast at a
+    bounded size, and a pass over the documents seeks PASS_BLOCKS blocks of them.
     """
-    spark = docs.sparkSession
     item_type = to_arrow_type(benchmark.schema[item_id_col].dataType)
     id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_id_col].dataType.simpleString()
     schema = f"doc_id {id_kind}, item_id {item_kind}, distance int, allowed int, start int, end int, passage string"
 
-    def one(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-        name = f"{id(shared)}-{len(block)}-{hash(tuple(block))}"
-
+    def one(shared: list) -> DataFrame:
         def run(batches):
-            if name not in _made:
-                _made.clear()
-                _made[name] = Items(shared.value, MIN_WORDS)
-            items = _made[name]
-            for batch in batches:
+            held = Held(shared)
+            for batch in _together(batches, held):
+                texts = [normal(t.as_py()) for t in batch.column(1)]
                 rows = []
-                for row in range(batch.num_rows):
-                    text = normal(batch.column(1)[row].as_py())
-                    for number, distance, start, end in items.find(text):
-                        item_id = items.items[number][0]
-                        rows.append((batch.column(0)[row].as_py(), item_id, distance, items.allowed[number], start, end, text[start:end]))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                kinds = [batch.schema.field(0).type, item_type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                for items in held:
+                    for row, text in enumerate(texts):
+                        for number, distance, start, end in items.find(text):
+                            rows.append((row, items.items[number][0], distance, items.allowed[number], start, end, text[start:end]))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "distance", "allowed", "start", "end", "passage"])
+                    row, *cols = zip(*rows, strict=True)
+                    kinds = [item_type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                    found = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *found], ["doc_id", "item_id", "distance", "allowed", "start", "end", "passage"])
 
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, map(one, blocks(benchmark, item_id_col, item_text_col)))
+    return reduce(DataFrame.unionByName, map(one, passes(benchmark, item_id_col, item_text_col)))
 
 
 def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,20 +251,16 @@ def op6_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns. Narrow, as ``leaks``; null texts stay."""
-    spark, place = docs.sparkSession, docs.columns.index(text_col)
-    schema = docs.schema
-    for block in blocks(benchmark, item_id_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
-        name = f"{id(shared)}-{len(block)}-{hash(tuple(block))}"
-
-        def run(batches, shared=shared, name=name):
-            if name not in _made:
-                _made.clear()
-                _made[name] = Items(shared.value, MIN_WORDS)
-            items = _made[name]
-            for batch in batches:
-                column = batch.column(place)
-                clean = [next(items.find(normal(column[row].as_py())), None) is None for row in range(batch.num_rows)]
+    place, schema = docs.columns.index(text_col), docs.schema
+    for shared in passes(benchmark, item_id_col, item_text_col):
+
+        def run(batches, shared=shared):
+            held = Held(shared)
+            for batch in _together(batches, held):
+                texts = [normal(t.as_py()) for t in batch.column(place)]
+                clean = [True] * len(texts)
+                for items in held:
+                    clean = [ok and next(items.find(text), None) is None for ok, text in zip(clean, texts, strict=True)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
