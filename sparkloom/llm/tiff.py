@@ -4,12 +4,13 @@ The reader walks the chain of image directories of either byte order, of TIFF an
 plainly or as PackBits, LZW or deflate, by pixel or by plane, undoes the horizontal predictor, and crops tiles to the page.
 Samples have 1, 4, 8 or 16 bits; those of 1 and 4 bits become bytes, those of 16 bits little-endian pairs of bytes.
 
-Defined results: a null or empty media value, and one that is not TIFF, give no page; a page that is not supported gives a
-row whose ``error`` tells why, with null samples, and the walk goes on; a damaged one gives its pages until the damage and
-then one such row. Directory loops end the walk. Columns of the input with the names of page columns are replaced.
+Defined results: a null or empty media value, and one that is not TIFF, give no page; a page that is not supported or is damaged
+(strips or tiles that are missing, too short or beyond the end, sizes of 0, more samples than its data can hold) gives a row whose
+``error`` tells why, with null samples, and the walk goes on; a damaged directory gives one such row and ends the walk, as does
+a loop of directories without a row. Columns of the input with the names of page columns are replaced.
 
 Not supported: other bit depths and samples of mixed depth, floating-point samples, the predictor with 1 or 4 bits, other
-predictors and compressions (CCITT, JPEG), reversed bit order.
+predictors and compressions (CCITT, JPEG).
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ FILL_ORDER, PLANES, SAMPLE_FORMAT = 266, 284, 339
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes that one stored byte may become, at most.
+GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
+_MIRRORED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 #: Payloads are padded with PAD to a positive multiple of UNIT, which is also the width of a stored page.
 UNIT, PAD = 576, 255
@@ -155,6 +159,10 @@ class Unsupported(ValueError):
     """A page that is sound but of a kind that is not decoded."""
 
 
+class Damaged(ValueError):
+    """A page or directory that cannot be read."""
+
+
 def _unpack(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         return data[:size]
@@ -200,9 +208,10 @@ def _directory(blob: bytes, order: str, at: int, big: bool) -> tuple[dict[int, l
     return tags, after
 
 
-def _block(blob: bytes, at: int, size: int, rows: int, cols: int, samples: int, compression: int, predictor: int, bits: int = 8, order: str = "<") -> np.ndarray:
+def _block(blob: bytes, at: int, size: int, rows: int, cols: int, samples: int, compression: int, predictor: int, bits: int = 8, order: str = "<", mirrored: bool = False) -> np.ndarray:
     stride = (cols * samples * bits + 7) // 8
-    raw = _unpack(blob[at : at + size], compression, rows * stride)
+    data = blob[at : at + size]
+    raw = _unpack(data.translate(_MIRRORED) if mirrored else data, compression, rows * stride)
     if len(raw) != rows * stride:
         raise ValueError("a strip or tile is too short")
     grid = np.frombuffer(raw, np.uint8)
@@ -216,9 +225,9 @@ def _block(blob: bytes, at: int, size: int, rows: int, cols: int, samples: int,
 
 
 def _image(blob: bytes, order: str, tags: dict[int, list[int]], index: int) -> Page:
-    one = lambda tag, default=None: tags.get(tag, [default])[0]
-    width, height, samples, depths = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), set(tags.get(BITS, [1]))
-    if not width or not height:
+    one = lambda tag, default=None: (tags.get(tag) or [default])[0]
+    width, height, samples, depths = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), set(tags.get(BITS) or [1])
+    if not width or not height or not samples:
         raise ValueError("a page without a size")
     bits, compression, predictor, tiled = min(depths), one(COMPRESSION, NONE), one(PREDICTOR, 1), TILE_OFFSETS in tags
     if len(depths) > 1 or bits not in (1, 4, 8, 16):
@@ -227,58 +236,84 @@ def _image(blob: bytes, order: str, tags: dict[int, list[int]], index: int) -> P
         raise Unsupported("floating-point samples are not supported")
     if predictor not in (1, 2) or (predictor == 2 and bits < 8):
         raise Unsupported(f"predictor {predictor} is not supported with {bits} bits")
-    if one(FILL_ORDER, 1) != 1:
-        raise Unsupported("reversed bit order is not supported")
     if compression not in (NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS):
         raise Unsupported(f"compression {compression} is not supported")
     planes = samples if one(PLANES, 1) == 2 else 1
-    image = np.empty((height, width, samples), "<u2" if bits == 16 else np.uint8)
-    places, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags[STRIP_OFFSETS], tags[STRIP_BYTES])
+    places, sizes = (tags.get(TILE_OFFSETS), tags.get(TILE_BYTES)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_BYTES))
     th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS_PER_STRIP, height), height), width)
+    if not places or not sizes or not th or not tw:
+        raise Damaged("strips or tiles have no place or no size")
     across = -(-width // tw)
     each = across * -(-height // th)
-    if len(places) < each * planes:
-        raise ValueError("strips or tiles are missing")
-    for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
+    if len(places) != len(sizes) or len(places) < each * planes:
+        raise Damaged("strips or tiles are missing")
+    # What a page may ask for in memory is bounded by the data that it has.
+    held = min(sum(sizes[: each * planes]), len(blob))
+    if height * ((width * samples * bits + 7) // 8) > held * GROWTH[compression] or (tiled and th * tw > 4 * held * GROWTH[compression]):
+        raise Damaged("a page has more samples than its data can hold")
+    image = np.zeros((height, width, samples), "<u2" if bits == 16 else np.uint8)
+    for k in range(each * planes):
         plane, y, x = k // each, k % each // across * th, k % across * tw
-        if plane >= planes:
-            break
+        if places[k] + sizes[k] > len(blob):
+            raise Damaged("a strip or tile lies beyond the end")
         rows = th if tiled else min(th, height - y)
-        part = _block(blob, place, size, rows, tw, samples // planes, compression, predictor, bits, order)[: height - y, : width - x]
+        part = _block(blob, places[k], sizes[k], rows, tw, samples // planes, compression, predictor, bits, order, one(FILL_ORDER, 1) == 2)[: height - y, : width - x]
         image[y : y + th, x : x + tw, plane : plane + 1 if planes > 1 else samples] = part
     return Page(index, width, height, samples, compression, predictor, tiled, image, bits)
 
 
-def _walk(blob: bytes | None) -> Iterator[Page | Unsupported]:
+def _walk(blob: bytes | None) -> Iterator[Page | Unsupported | Damaged]:
     if not blob or len(blob) < 8 or blob[:4] not in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+"):
         return
     order, big = "<" if blob[:1] == b"I" else ">", b"+" in blob[2:4]
-    (at,) = struct.unpack_from(f"{order}Q", blob, 8) if big else struct.unpack_from(f"{order}I", blob, 4)
     seen, index = set(), 0
+    try:
+        (at,) = struct.unpack_from(f"{order}Q", blob, 8) if big else struct.unpack_from(f"{order}I", blob, 4)
+    except struct.error as e:
+        yield Damaged(str(e))
+        return
     while at and at not in seen:
         seen.add(at)
-        tags, at = _directory(blob, order, at, big)
+        try:
+            tags, at = _directory(blob, order, at, big)
+        except (ValueError, struct.error, OverflowError) as e:
+            yield Damaged(f"a directory cannot be read: {e}")
+            return
         try:
             page = _image(blob, order, tags, index)
         except Unsupported as e:
             page = e
+        except (ValueError, IndexError, ZeroDivisionError, OverflowError, MemoryError, struct.error, zlib.error) as e:
+            page = e if isinstance(e, Damaged) else Damaged(f"{type(e).__name__}: {e}")
         yield page
         index += 1
 
 
 def read_pages(blob: bytes | None) -> Iterator[Page]:
-    """The pages of a TIFF file in the order of its directories; raises at one that is not supported."""
+    """The pages of a TIFF file in the order of its directories; raises at one that cannot be read."""
     for page in _walk(blob):
-        if isinstance(page, Unsupported):
+        if isinstance(page, ValueError):
             raise page
         yield page
 
 
-def write_pages(pages: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = PAGE_ROWS, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
-    """A TIFF file with one page for each array of 8-bit samples (rows, columns, samples)."""
+@dataclass(frozen=True)
+class Form:
+    """How a page is stored."""
+
+    compression: int = DEFLATE
+    predictor: int = 1
+    rows_per_strip: int = 64
+    tile: tuple[int, int] | None = None
+
+
+def write_pages(pages: list[np.ndarray], *, compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = PAGE_ROWS, tile: tuple[int, int] | None = None, order: str = "<", forms: list[Form] | None = None) -> bytes:
+    """A TIFF file with one page for each array of 8-bit samples (rows, columns, samples); ``forms``: one for each page."""
     out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + b"\0" * 4)
     link = 4
-    for image in pages:
+    for k, image in enumerate(pages):
+        if forms:
+            compression, predictor, rows_per_strip, tile = forms[k].compression, forms[k].predictor, forms[k].rows_per_strip, forms[k].tile
         image = np.asarray(image, np.uint8).reshape(*image.shape[:2], -1)
         height, width, samples = image.shape
         if tile:
@@ -327,26 +362,30 @@ def payload(text: bytes) -> bytes:
     return text + bytes((PAD,)) * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
 
+def form_of(page: bytes) -> Form:
+    """How a page is stored, by its checksum, so equal pages are stored alike: one in sixteen with LZW, two with PackBits, the
+    others deflated; every other one with the predictor, every fourth in tiles, the others in strips of 16 or 64 rows."""
+    kind = zlib.crc32(page)
+    compression = {0: LZW, 1: PACKBITS, 2: PACKBITS}.get(kind & 15, DEFLATE)
+    return Form(compression, 1 + (kind >> 4 & 1), 16 << (kind >> 5 & 2), (16, 192) if kind >> 7 & 3 == 0 else None)
+
+
 def store(data: bytes) -> bytes:
-    """A payload as TIFF pages of UNIT columns and at most PAGE_ROWS rows, deflated."""
+    """A payload as TIFF pages of UNIT columns and at most PAGE_ROWS rows, each in the form of ``form_of``."""
     grid = np.frombuffer(data, np.uint8).reshape(-1, UNIT)
-    return write_pages([grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)])
+    pages = [grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)]
+    return write_pages(pages, forms=[form_of(p.tobytes()) for p in pages])
 
 
 PAGE_FIELDS = [("page", pa.int32()), ("page_width", pa.int32()), ("page_height", pa.int32()), ("page_samples", pa.int32()), ("page_compression", pa.int32()), ("page_predictor", pa.int32()), ("page_tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string()), ("page_bits", pa.int32())]
 
 
 def page_rows(blob: bytes | None) -> Iterator[tuple]:
-    index = 0
-    try:
-        for p in _walk(blob):
-            index += 1
-            if isinstance(p, Unsupported):
-                yield (index - 1, None, None, None, None, None, None, None, str(p), None)
-                continue
+    for index, p in enumerate(_walk(blob)):
+        if isinstance(p, ValueError):
+            yield (index, None, None, None, None, None, None, None, str(p), None)
+        else:
             yield p.index, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None, p.bits
-    except (ValueError, KeyError, struct.error, zlib.error, TypeError) as e:
-        yield (index, None, None, None, None, None, None, None, str(e), None)
 
 
 def tiff_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
