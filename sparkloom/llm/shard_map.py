@@ -12,17 +12,19 @@ Columns of the input other than id and text are dropped by ``assign`` and kept b
 from __future__ import annotations
 
 import heapq
-import uuid
+import zlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._lineage import shared_dir
+from sparkloom.llm._lineage import shared_dir, spare
 
 #: Virtual slots; fixed for the life of a corpus.
 SLOTS = 4096
 SHARDS = 16
+#: How far the fullest shard may lie above the mean before a stored map is edited.
+TOLERANCE = 1e-4
 
 
 @dataclass
@@ -94,24 +96,52 @@ class SlotMap:
         return SlotMap(shards, owner, self.version + 1, moved, [*self.history, (self.version, list(self.owner))])
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(self.version, slot, shard) for slot, shard in enumerate(self.owner)]
-        return spark.createDataFrame(rows, "version int, vslot int, shard int")
+        rows = [(slot, shard, self.shards) for slot, shard in enumerate(self.owner)]
+        return spark.createDataFrame(rows, "vslot int, shard int, shards int")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Adds this version to the table of versions at ``path``; writing a version again replaces it."""
-        self.frame(spark).coalesce(1).drop("version").write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={self.version}")
+        self.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={self.version}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> "SlotMap":
-        """A stored version, the newest by default."""
-        table = spark.read.parquet(path)
-        if version is None:
-            version = table.agg(F.max("version")).first()[0]
-        rows = table.where(F.col("version") == version).select("vslot", "shard").collect()
-        owner = [0] * len(rows)
-        for slot, shard in rows:
-            owner[slot] = shard
-        return cls(max(owner) + 1, owner, version)
+        """A stored version, the newest by default, with the older ones as its history."""
+        versions: dict[int, list[tuple[int, int, int]]] = {}
+        for v, slot, shard, shards in spark.read.parquet(path).select("version", "vslot", "shard", "shards").collect():
+            versions.setdefault(int(v), []).append((slot, shard, shards))
+        owners = {v: [shard for _, shard, _ in sorted(rows)] for v, rows in versions.items()}
+        version = max(owners) if version is None else version
+        if version not in owners:
+            raise ValueError(f"no version {version} at {path}")
+        before = [(v, owners[v]) for v in sorted(owners) if v < version]
+        moved = sum(a != b for a, b in zip(before[-1][1], owners[version], strict=True)) if before else 0
+        return cls(versions[version][0][2], owners[version], version, moved, before)
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str) -> "SlotMap | None":
+        """The newest version at a path, or None where nothing is stored."""
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return cls.load(spark, path) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else None
+
+    @classmethod
+    def kept(cls, spark: SparkSession, path: str, slot_bytes: list[int], shards: int, tolerance: float = TOLERANCE) -> "SlotMap":
+        """The map stored at ``path``, edited for ``shards`` and the present bytes where they ask for it; a first one where there is none.
+
+        The first map is stored as version 1, each edit as the next version. A map in balance within ``tolerance`` stays as it is.
+        """
+        now = cls.stored(spark, path)
+        if now is None:
+            now = cls.spread(slot_bytes, shards)
+            now.save(spark, path)
+        if len(now.owner) != len(slot_bytes):
+            raise ValueError(f"the map at {path} has {len(now.owner)} slots, not {len(slot_bytes)}")
+        loads = now.loads(slot_bytes)
+        if now.shards != shards or max(loads) > (1 + tolerance) * sum(loads) / len(loads):
+            edited = now.rebalanced(slot_bytes, shards)
+            if edited.moved or edited.shards != now.shards:
+                now = edited
+                now.save(spark, path)
+        return now
 
 
 def text_size(text: Column) -> Column:
@@ -139,22 +169,30 @@ def records(docs: DataFrame, id_col: str, text_col: str, slots: int) -> DataFram
     return docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), crc.alias("text_crc32")).withColumn("__vslot", slot_of([F.col("doc_id"), F.col("text_crc32")], slots))
 
 
+def default_path(spark: SparkSession, slot_bytes: list[int], shards: int) -> str:
+    """Where the map of a corpus of these loads is stored: runs over one corpus share a map, and leave no more than that."""
+    name = zlib.crc32(repr((shards, slot_bytes)).encode())
+    return f"{shared_dir(spark).rstrip('/')}/slot-map-{len(slot_bytes)}-{sum(slot_bytes)}-{name:08x}"
+
+
 def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None, map_path: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Shard and place of each record: ``doc_id, size, text_crc32, vslot, shard, slot, map_version``.
 
     ``slot`` counts from 0 without gaps in each shard, by virtual slot, then id. Only the id, the size and the checksum
-    of a record are shuffled, on the virtual slot, so no task holds a whole shard. Without ``slot_map`` a first map is
-    spread from the measured bytes and edited once; given one, it is edited only if it has another number of shards.
-    The map is stored as a version under ``map_path`` (default: a new folder in the shared one).
+    of a record are shuffled, on the virtual slot, so no task holds a whole shard. The map is the one stored at ``map_path``
+    (default: a folder of this corpus in the shared one), made or edited as ``SlotMap.kept`` says. A given ``slot_map`` is used as
+    it is, or edited if it has another number of shards, and stored only under a given path.
     """
     spark = docs.sparkSession
     rec = records(docs, id_col, text_col, slots)
     slot_bytes, slot_rows = slot_loads(rec, slots)
     if slot_map is None:
-        slot_map = SlotMap.spread(slot_bytes, shards).rebalanced(slot_bytes)
-    elif slot_map.shards != shards:
-        slot_map = slot_map.rebalanced(slot_bytes, shards)
-    slot_map.save(spark, map_path or f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}")
+        slot_map = SlotMap.kept(spark, map_path or default_path(spark, slot_bytes, shards), slot_bytes, shards)
+    else:
+        if slot_map.shards != shards:
+            slot_map = slot_map.rebalanced(slot_bytes, shards)
+        if map_path:
+            slot_map.save(spark, map_path)
     base, filled = [0] * slots, [0] * slot_map.shards
     for slot, shard in enumerate(slot_map.owner):
         base[slot] = filled[shard]
@@ -166,16 +204,15 @@ def assign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     return out.select("doc_id", "size", "text_crc32", F.col("__vslot").alias("vslot"), "shard", (F.col("__base") + F.col("__rank") - 1).cast("long").alias("slot"), F.lit(slot_map.version).alias("map_version")), slot_map
 
 
-def attach(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def attach(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """The documents with a column ``shard`` (replacing one of that name) and no shuffle: records stay where they are."""
-    rec = records(docs, id_col, text_col, slots)
-    slot_bytes, _ = slot_loads(rec, slots)
-    slot_map = SlotMap.spread(slot_bytes, shards).rebalanced(slot_bytes)
     spark = docs.sparkSession
-    slot_map.save(spark, f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}")
-    lookup = spark.createDataFrame(list(enumerate(slot_map.owner)), "__vslot int, __shard int")
-    keyed = docs.withColumn("__vslot", slot_of([F.col(id_col), text_crc(F.col(text_col))], slots))
-    return keyed.join(F.broadcast(lookup), "__vslot").withColumn("shard", F.col("__shard")).drop("__vslot", "__shard")
+    slot_bytes, _ = slot_loads(records(docs, id_col, text_col, slots), slots)
+    slot_map = SlotMap.kept(spark, map_path or default_path(spark, slot_bytes, shards), slot_bytes, shards)
+    at, to = spare(docs, "__vslot"), spare(docs, "__shard")
+    lookup = spark.createDataFrame(list(enumerate(slot_map.owner)), f"{at} int, {to} int")
+    keyed = docs.withColumn(at, slot_of([F.col(id_col), text_crc(F.col(text_col))], slots))
+    return keyed.join(F.broadcast(lookup), at).withColumn("shard", F.col(to)).drop(at, to)
 
 
 def op2_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
