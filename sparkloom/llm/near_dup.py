@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm._lineage import cut
+from sparkloom.llm._lineage import cut, row_hash, spare
 from sparkloom.llm._text import LOWER, WORDS, mix, segments, shingle_hashes, utf8, word_hashes
 from sparkloom.lineage import components
 
@@ -45,6 +45,8 @@ SYMBOLS, BITS, RADIUS, CHUNKS = 64, 16, 21, 12
 BEYOND, LEAST_PERCENT = 1e-4, 70
 #: Members of a bucket whose pairs are listed.
 SMALL = 12
+#: Rows of one shingle that a task of the prefix join gets.
+SLICE = 200
 #: Ids that a broadcast may hold (8 bytes each, some 40 in a hash table); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -248,11 +250,14 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, rows: int, percent: int)
     ranked = items.join(often, "e").withColumn("at", place).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
     ranked = cut(ranked.select("rep", "component", "n", "e", "at"), rows)
     # Pairs within a component are not sought, so the most common component of a shingle is taken on one side only.
-    common = ranked.groupBy("e", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("e").agg(F.max_by("component", "k").alias("common"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    ranked = ranked.join(common.drop("k"), "e")
-    a, b = ranked.where("component <> common").alias("a"), ranked.alias("b")
+    common = ranked.groupBy("e", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("e").agg(F.max_by("component", "k").alias("common"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("rows")).where("parts > 1")
+    # The rows of a frequent shingle are dealt into slices of about SLICE rows, and the rarer side stands in each of them.
+    slices = F.ceil(F.col("rows") / SLICE).cast("int")
+    ranked = cut(ranked.join(common.select("e", "common", slices.alias("slices")), "e").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")), rows)
+    a = ranked.where("component <> common").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("a")
+    b = ranked.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
-    on = (F.col("a.e") == F.col("b.e")) & (F.col("a.component") != F.col("b.component"))
+    on = (F.col("a.e") == F.col("b.e")) & (F.col("a.slice") == F.col("b.slice")) & (F.col("a.component") != F.col("b.component"))
     on &= (F.col("a.at") <= F.col("a.n") - need + 1) & (F.col("b.at") <= F.col("b.n") - need + 1)
     return a.join(b, on).select(F.least("a.rep", "b.rep").alias("lo"), F.greatest("a.rep", "b.rep").alias("hi")).distinct()
 
@@ -316,14 +321,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shuffle of the documents. Where an id repeats, the documents are cut once, so that each row has a number.
     """
     whole = F.col(id_col).cast("long")
-    if docs.where(whole.isNotNull()).groupBy(whole).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty():
+    gone, row = spare(docs, "__id"), spare(docs, "__row")
+    if docs.where(whole.isNotNull()).groupBy(whole.alias("i")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         judged = cut(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent).select("doc_id", "kept"))
-        out, same = judged.where("NOT kept").select(F.col("doc_id").alias("__id")), whole == F.col("__id")
+        out, same = judged.where("NOT kept").select(F.col("doc_id").alias(gone)), whole == F.col(gone)
     else:
-        docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-        judged = near_duplicates(docs.where(whole.isNotNull()), id_col="__row", text_col=text_col, percent=percent).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id")
-        ranked = cut(judged.join(docs.select("__row", F.struct(whole, F.col(text_col), F.xxhash64(*[f"`{c}`" for c in docs.columns if c != "__row"]), "__row").alias("__order")), "__row"))
-        first = ranked.groupBy("component_id").agg(F.min("__order")["__row"].alias("__row"))
-        out, same = cut(ranked.join(first, "__row", "left_anti").select(F.col("__row").alias("__id"))), F.col("__row") == F.col("__id")
+        docs = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        judged = near_duplicates(docs.where(whole.isNotNull()), id_col=row, text_col=text_col, percent=percent).where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id")
+        order = F.struct(whole, F.col(text_col), row_hash(docs, [c for c in docs.columns if c != row]), F.col(row).alias("row")).alias("order")
+        ranked = cut(judged.join(docs.select(row, order), row))
+        first = ranked.groupBy("component_id").agg(F.min("order")["row"].alias(row))
+        out, same = cut(ranked.join(first, row, "left_anti").select(F.col(row).alias(gone))), F.col(row) == F.col(gone)
     out = F.broadcast(out) if out.count() <= BROADCAST_IDS else out
-    return docs.join(out, same, "left_anti").drop("__row")
+    return docs.join(out, same, "left_anti").drop(row)
