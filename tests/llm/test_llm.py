@@ -110,11 +110,64 @@ def test_slot_map_versions(spark, tmp_path):
     first.save(spark, str(tmp_path))
     second = first.rebalanced([50, 1, 9, 2], 3)
     second.save(spark, str(tmp_path))
-    assert shard_map.SlotMap.load(spark, str(tmp_path)).owner == second.owner
+    held = shard_map.SlotMap.load(spark, str(tmp_path))
+    assert (held.owner, held.shards, held.moved, held.history) == (second.owner, 3, second.moved, [(1, first.owner)])
     assert shard_map.SlotMap.load(spark, str(tmp_path), 1).owner == first.owner
+    # The last shard may own nothing.
+    shard_map.SlotMap(5, [0, 1, 0, 1], 3).save(spark, str(tmp_path))
+    assert shard_map.SlotMap.load(spark, str(tmp_path)).shards == 5
     assert max(second.rebalanced([5, 1, 9, 2], 2).owner) == 1
 
 
+def test_stored_map_is_edited(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    _, first = shard_map.assign(docs, map_path=path)
+    _, same = shard_map.assign(docs, map_path=path)
+    assert same.version == first.version and same.owner == first.owner
+    more, grown = shard_map.assign(docs, map_path=path, shards=17)
+    assert grown.version == first.version + 1 and 0 < grown.moved < 4096 / 8 and more.select("map_version").distinct().collect()[0][0] == grown.version
+    assert [v for v, _ in shard_map.SlotMap.load(spark, path).history] == list(range(1, grown.version))
+    assert shard_map.SlotMap.load(spark, path, 1).shards == 16
+
+
+def test_shards_match_a_plain_version(spark):
+    random.seed(8)
+    rows = [(i, "é" * random.randint(0, 300) if i % 7 else None) for i in range(700)] + [(5, "twice"), (5, "twice"), (None, "no id")]
+    out, slot_map = shard_map.assign(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((tuple(r) for r in out.select("doc_id", "size", "text_crc32", "shard", "slot", "vslot").collect()), key=lambda r: (r[3], r[4]))
+    assert Counter(r[:3] for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    # Places count on by virtual slot, then id; equal ids and texts share a virtual slot.
+    place = {}
+    for shard in range(16):
+        mine = [r for r in got if r[3] == shard]
+        assert [r[4] for r in mine] == list(range(len(mine))) and mine == sorted(mine, key=lambda r: (r[5], r[0] is not None, r[0] or 0, r[2]))
+        assert all(slot_map.owner[r[5]] == shard for r in mine)
+        for r in mine:
+            assert place.setdefault((r[0], r[2]), r[5]) == r[5]
+    # The first map, dealt by hand: slots by falling bytes, each to the emptiest shard; then the fullest gives to the emptiest.
+    slot_bytes = [0] * 4096
+    for r in got:
+        slot_bytes[r[5]] += r[1]
+    load, owner = [0] * 16, {}
+    for slot in sorted(range(4096), key=lambda k: -slot_bytes[k]):
+        owner[slot] = load.index(min(load))
+        load[owner[slot]] += slot_bytes[slot]
+    assert max(slot_map.loads(slot_bytes)) <= max(load) and sum(slot_map.loads(slot_bytes)) == sum(r[1] for r in got)
+
+
+def test_names_that_operators_use_inside(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of a few words", "a", i, 2 * i, 3 * i, {"k": i}, i) for i in range(20)], "doc_id long, text string, source string, `__hash` long, `__vslot` long, `__shard` long, m map<string,int>, `__row` long")
+    shards = shard_map.attach(docs)
+    assert shards.columns == [*docs.columns, "shard"] and {(r["doc_id"], r["__vslot"], r["__shard"]) for r in shards.collect()} == {(i, 2 * i, 3 * i) for i in range(20)}
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns and all(r["__hash"] == r["doc_id"] == r["m"]["k"] for r in taken.collect())
+    twice = docs.unionByName(docs)
+    kept = near_dup.keep_one(twice)
+    assert kept.columns == docs.columns and all(r["__row"] == r["doc_id"] for r in kept.collect())
+    assert mixing.take(twice).columns == docs.columns
+
+
 def test_shards_on_odd_rows(spark):
     out, _ = shard_map.assign(odd(spark))
     got = {r.doc_id: r for r in out.collect()}
@@ -144,7 +197,7 @@ def tiff_file(pages, order="<", big=False):
             if len(raw) > room:
                 raw, at = struct.pack(f"{order}{word}", len(out)), raw
                 out += at
-            entries += struct.pack(f"{order}HH{word}", tag, unit, len(values)) + raw
+            entries += struct.pack(f"{order}HH{word}", tag, unit, len(values)) + raw.ljust(room, b"\0")
         struct.pack_into(f"{order}{word}", out, link, len(out))
         out += struct.pack(f"{order}{'Q' if big else 'H'}", len(fields)) + entries
         link = len(out)
@@ -196,6 +249,52 @@ def test_tiff_pages_and_damage(spark):
     assert tiff.tiff_pages(spark.createDataFrame([], "media binary")).count() == 0
 
 
+def test_tiff_damage_gives_error_rows():
+    page = lambda tags, blocks: list(tiff.page_rows(tiff_file([({256: [8], 257: [200], 258: [8], **tags}, blocks), ({256: [2], 257: [1], 258: [8]}, [b"ok"])])))
+    sides, full = {256: [1 << 31], 257: [1 << 31]}, [bytes(16 * 8)] * 12 + [bytes(8 * 8)]
+    assert [r[8] for r in page({278: [16]}, full)] == [None, None]
+    for tags, blocks in (({278: [16]}, full[:1]), ({278: [0]}, full), ({}, []), ({257: []}, full), (sides, full), ({259: [tiff.DEFLATE], **sides}, full), ({322: [0], 323: [16], 324: [8], 325: [8]}, full), ({277: [0]}, full), ({259: [tiff.LZW]}, full), ({278: [16]}, [b"x", *full[1:]])):
+        rows = page(tags, blocks)
+        assert rows[0][8] and rows[0][7] is None and rows[1][8] is None and rows[1][7] == b"ok", (tags, rows[0][8])
+    mirrored = page({256: [2], 257: [1], 266: [2]}, [bytes([0b10000000, 0b11000000])])
+    assert list(mirrored[0][7]) == [1, 3]
+
+
+def test_tiff_fuzz():
+    rng = random.Random(9)
+    grid = np.frombuffer(rng.randbytes(40 * 30 * 3), np.uint8).reshape(40, 30, 3) & 15
+    for compression in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        for tile in (None, (16, 16)):
+            blob = tiff.write_pages([grid, grid[:7]], compression=compression, predictor=2, tile=tile, rows_per_strip=9)
+            assert all(r[8] is None for r in tiff.page_rows(blob))
+            for _ in range(150):
+                bad = bytearray(blob)
+                for _ in range(rng.randint(1, 6)):
+                    bad[rng.randrange(4, len(bad)) if rng.random() < 0.5 else -rng.randint(1, 350)] = rng.choice([0, 1, 255, rng.randrange(256)])
+                for r in tiff.page_rows(bytes(bad[: rng.choice([len(bad), rng.randrange(len(bad))])])):
+                    assert (r[7] is None) == (r[8] is not None)
+                    assert r[7] is None or len(r[7]) == r[1] * r[2] * r[3] * (2 if r[9] == 16 else 1)
+
+
+def test_tiff_forms_of_texts():
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("abc \n") for _ in range(rng.randint(1, 90_000))).encode() for _ in range(60)]
+    seen = set()
+    for text in texts:
+        data = tiff.payload(text)
+        blob = tiff.store(data)
+        pages = list(tiff.read_pages(blob))
+        assert b"".join(p.pixels.tobytes() for p in pages) == data and blob == tiff.store(data)
+        seen |= {(p.compression, p.predictor, p.tiled) for p in pages}
+        flat = [list(data[k : k + 576 * 64]) for k in range(0, len(data), 576 * 64)]
+        mean = sum(data) / len(data)
+        sd = (sum(b * b for b in data) / len(data) - mean * mean) ** 0.5
+        rising = sum(b > a for page in flat for a, b in zip(page, page[1:], strict=False)) / sum(len(page) - 1 for page in flat)
+        hist = Counter(b // 32 for b in data)
+        assert tiff.features(pages) == f"pages={len(flat)};rows={len(data) // 576};mean={mean:.4f};sd={sd:.4f};rising={rising:.4f};hist=" + ",".join(str(hist[k]) for k in range(8))
+    assert {c for c, _, _ in seen} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE} and {p for _, p, _ in seen} == {1, 2} and {t for _, _, t in seen} == {True, False}
+
+
 def test_tiff_digests(spark):
     got = {r.doc_id: r for r in tiff.text_media(odd(spark)).collect()}
     for i, text in ((1, b""), (2, b""), (8, b"MIT license token=abcdef123 <|endoftext|>"), (4, LONG.encode())):
@@ -357,9 +456,12 @@ def test_short_items_are_found_between_word_borders(spark):
 
 
 def test_blocks_of_items(spark, monkeypatch):
+    # Nine blocks in three passes; a worker keeps the automata of two.
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 4)
     items = spark.createDataFrame([(i, f"item number {i} has these words and some {i * 7} more of them") for i in range(9)], "item_id int, text string")
     docs = items.select(F.col("item_id").alias("doc_id"), "text")
+    assert len(list(decontaminate.passes(items, "item_id", "text"))) == 3
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).where("distance = 0").collect()} >= {(i, i) for i in range(9)}
     assert decontaminate.drop_leaks(docs, items).count() == 0
 
@@ -382,6 +484,36 @@ def test_quality_tells_kinds_apart_and_holds_out(spark):
     assert (quality.fit(docs, flipped) == w).all()
 
 
+def test_training_matches_a_plain_version():
+    """Follow the regularised leader, one weight at a time."""
+    rng = random.Random(11)
+    rows = [(sorted(rng.sample(range(30), rng.randint(0, 9))), rng.randint(0, 1)) for _ in range(60)]
+    z, n, bias = defaultdict(float), defaultdict(float), quality.DIMENSIONS
+    weight = lambda i: 0.0 if abs(z[i]) <= quality.L1 else -(z[i] - (quality.L1 if z[i] > 0 else -quality.L1)) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+    ones = sum(y for _, y in rows) / len(rows)
+    for _ in range(quality.EPOCHS):
+        for numbers, y in rows:
+            x = {i: 1 / max(1, len(numbers)) ** 0.5 for i in numbers} | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - y) * x[i] * (0.5 / ones if y else 0.5 / (1 - ones))
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA * w[i]
+                n[i] += g * g
+    got = quality.train([np.array(f, np.int32) for f, _ in rows], np.array([y for _, y in rows], float))
+    assert got[[*range(30), bias]] == pytest.approx([weight(i) for i in [*range(30), bias]], abs=1e-5) and np.count_nonzero(got) <= 31
+
+
+def test_scores_match_a_plain_version():
+    w = np.random.default_rng(12).normal(size=quality.DIMENSIONS + 1).astype(np.float32)
+    texts = ["One two, one two", "", "a", "x x x x", "Ünïcode wörds!! and 12 more", LONG[:3000]]
+    for text, got in zip(texts, quality.scores(pa.array(texts), w), strict=True):
+        data = text.encode()
+        _, numbers = quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        dot = float(w[-1]) + sum(float(w[k]) for k in numbers) / max(1, len(numbers)) ** 0.5
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(dot + np.log(0.3 / 0.7), -30, 30))))
+
+
 def test_quality_on_odd_rows(spark):
     labels = spark.createDataFrame([(5, 1), (8, 0), (7, 1), (7, 0), (None, 1), (4, None)], "doc_id long, quality int")
     w = quality.fit(odd(spark), labels)
@@ -476,7 +608,7 @@ def test_licences_on_odd_rows(spark):
 # --- op10 ----------------------------------------------------------------------------------------------------------------
 
 
-def plain_classes(rows):
+def plain_classes(rows, percent=85):
     sets = {}
     for i, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -493,7 +625,7 @@ def plain_classes(rows):
         for b in ids:
             if a < b and sets[a] and sets[b]:
                 n = len(sets[a] & sets[b])
-                if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+                if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
                     x, y = find(a), find(b)
                     root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in sets}
@@ -622,7 +754,8 @@ def test_pipeline_stages_do_what_they_say(spark):
     assert {r.doc_id for r in good.collect()} == {i for i, s in scores.items() if s >= 0.3} and good.columns == columns
     single = corpus_pipeline.one_of_each(spark, good, d)
     rows = [(r.doc_id, r.text) for r in good.collect()]
-    classes = plain_classes(rows)
+    # The stage links at the job's 0.8, not at the 0.85 of op10's contract.
+    classes = plain_classes(rows, 80)
     assert {r.doc_id for r in single.collect()} == {i for i, (n, c) in classes.items() if n == 0 or c == i} and single.columns == columns
     clean = corpus_pipeline.no_leaks(spark, single, d)
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
