@@ -7,6 +7,7 @@ Neighbours and lookups are relational.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,13 +22,27 @@ TARGET_TOKENS, MAX_TOKENS = 4000, 8000
 PAGE_TAG = "sparkloom"
 CHUNK_SCHEMA = "source string, `index` int, text string, heading_path array<string>, page_start int, page_end int"
 
-#: Counts tokens of a text. Any callable that can be pickled will do; see ``pattern_tokens``.
+#: Counts tokens of a text. Any callable that can be pickled will do; one with ``starts`` (see ``PatternTokens``) is asked once per text.
 TokenCounter = Callable[[str], int]
 
 
-def pattern_tokens(text: str) -> int:
-    """The default counter: words, numbers and marks. A vocabulary's own counter moves the borders between chunks."""
-    return len(re.findall(r"[^\W\d_]{1,6}|\d{1,3}|[^\w\s]|_", text))
+class PatternTokens:
+    """The default counter: words, numbers and marks. A vocabulary's own counter moves the borders between chunks.
+
+    ``starts`` gives the places where tokens begin. Tokens end at white space and a text cut where one begins has the same tokens
+    as before, so counts of parts add up and a text is read once, however often it is cut and packed.
+    """
+
+    pattern = re.compile(r"[^\W\d_]{1,6}|\d{1,3}|[^\w\s]|_")
+
+    def __call__(self, text: str) -> int:
+        return len(self.pattern.findall(text))
+
+    def starts(self, text: str) -> list[int]:
+        return [m.start() for m in self.pattern.finditer(text)]
+
+
+pattern_tokens = PatternTokens()
 
 
 @dataclass
@@ -36,6 +51,7 @@ class Section:
     path: list[str]
     first: int | None = None
     last: int | None = None
+    tokens: int = 0
 
 
 def sections(markdown: str, tag: str = PAGE_TAG) -> Iterator[Section]:
@@ -76,31 +92,61 @@ def _cut_point(text: str, most: int, count: TokenCounter) -> int:
     return gaps[-1] if gaps and gaps[-1] >= max(1, low // 2) else low
 
 
-def split_long(text: str, most: int, count: TokenCounter) -> Iterator[str]:
-    """A section in parts of at most ``most`` tokens: by paragraphs, and those by white space."""
-    if count(text) <= most:
-        yield text
+_GAP = re.compile(r"\s*")
+
+
+def _cut_by_starts(text: str, most: int, starts: list[int]) -> Iterator[tuple[str, int]]:
+    """What ``_cut_point`` leads to again and again, from the places of the tokens of the whole text."""
+    at, token = 0, 0
+    while len(starts) - token > most:
+        low = starts[token + most] - at
+        window = text[at : at + low + 1]
+        head = window.rstrip() if window[-1:].isspace() else window.rsplit(None, 1)[0]
+        gap = len(head) if len(head) < len(window) else 0
+        cut = gap if gap >= max(1, low // 2) else low
+        end = at + cut
+        upto = bisect_left(starts, end)
+        yield text[at:end].rstrip(), upto - token
+        at, token = _GAP.match(text, end).end(), upto
+    if at < len(text):
+        yield text[at:], len(starts) - token
+
+
+def split_long(text: str, most: int, count: TokenCounter) -> Iterator[tuple[str, int]]:
+    """A section in parts of at most ``most`` tokens, with their tokens: by paragraphs, and those by white space."""
+    total = count(text)
+    if total <= most:
+        yield text, total
         return
-    held = ""
+    known = getattr(count, "starts", None)
+    held: list[str] = []
+    size = 0
     for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text))):
-        joined = f"{held}\n\n{paragraph}" if held else paragraph
-        if count(paragraph) <= most and (not held or count(joined) <= most):
-            held = joined
+        starts = known(paragraph) if known else []
+        n = len(starts) if known else count(paragraph)
+        both = size + n if known else count("\n\n".join([*held, paragraph])) if held else n
+        if both <= most:
+            held.append(paragraph)
+            size = both
             continue
         if held:
-            yield held
-        held = ""
-        if count(paragraph) <= most:
-            held = paragraph
-            continue
-        while count(paragraph) > most:
-            at = _cut_point(paragraph, most, count)
-            yield paragraph[:at].rstrip()
-            paragraph = paragraph[at:].lstrip()
-        if paragraph:
-            yield paragraph
+            yield "\n\n".join(held), size
+        held, size = [], 0
+        if n <= most:
+            held, size = [paragraph], n
+        elif known:
+            yield from _cut_by_starts(paragraph, most, starts)
+        else:
+            while n > most:
+                at = _cut_point(paragraph, most, count)
+                head = paragraph[:at].rstrip()
+                yield head, count(head)
+                paragraph = paragraph[at:].lstrip()
+                n = count(paragraph)
+            if paragraph:
+                yield paragraph, n
     if held:
-        yield held
+        yield "\n\n".join(held), size
 
 
 def shared_path(a: list[str], b: list[str]) -> list[str]:
@@ -110,23 +156,29 @@ def shared_path(a: list[str], b: list[str]) -> list[str]:
 
 def pack(parts: list[Section], target: int, most: int, count: TokenCounter) -> list[Section]:
     """Neighbours joined while the first is under the target and both together fit."""
+    adds = hasattr(count, "starts")
     out: list[Section] = []
+    texts: list[list[str]] = []
     for part in parts:
-        if out:
+        if out and out[-1].tokens < target:
             last = out[-1]
-            joined = f"{last.text}\n\n{part.text}"
-            if count(last.text) < target and count(joined) <= most:
+            both = last.tokens + part.tokens if adds else count("\n\n".join([*texts[-1], part.text]))
+            if both <= most:
                 first = part.first if last.first is None else last.first
                 end = last.last if part.last is None else part.last
-                out[-1] = Section(joined, shared_path(last.path, part.path), first, end)
+                texts[-1].append(part.text)
+                out[-1] = Section("", shared_path(last.path, part.path), first, end, both)
                 continue
         out.append(part)
+        texts.append([part.text])
+    for chunk, pieces in zip(out, texts, strict=True):
+        chunk.text = "\n\n".join(pieces)
     return out
 
 
 def chunk_markdown(markdown: str, *, count: TokenCounter = pattern_tokens, target: int = TARGET_TOKENS, most: int = MAX_TOKENS, tag: str = PAGE_TAG) -> list[Section]:
     """The chunks of one document, in order (C01); parts without a letter or digit go."""
-    parts = [Section(text, s.path, s.first, s.last) for s in sections(markdown, tag) for text in split_long(s.text, most, count) if any(c.isalnum() for c in text)]
+    parts = [Section(text, s.path, s.first, s.last, n) for s in sections(markdown, tag) for text, n in split_long(s.text, most, count) if any(c.isalnum() for c in text)]
     return pack(parts, target, most, count)
 
 

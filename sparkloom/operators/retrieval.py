@@ -89,29 +89,38 @@ def searchable_text(chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> Da
     return known.select("id", F.concat_ws("\n", heading, F.lit("Content:"), "text", block("Entities", F.col("node_lines")), block("Relationships", F.col("edge_lines"))).alias("text"))
 
 
+FIELD_WEIGHTS = {"labels": LABEL_WEIGHT, "aliases": ALIAS_WEIGHT, "content": CONTENT_WEIGHT, "metadata": METADATA_WEIGHT}
+
+
 @dataclass(frozen=True)
 class ChunkRetriever:
-    """Field indexes over the chunks; prepared once, asked many times."""
+    """One index over the text fields of the chunks, a corpus per field; prepared once, asked many times."""
 
     chunks: DataFrame
-    labels: Bm25Index
-    aliases: Bm25Index
-    content: Bm25Index
-    metadata: Bm25Index
+    fields: Bm25Index
     vectors: DataFrame | None = None
 
-    def rank(self, queries: DataFrame, top: int = TOP_CHUNKS) -> DataFrame:
-        """``query_id, id, score, rank`` of the best chunks: five weighted scores, above 0 only."""
-        parts = [(bm25_normalized(index, queries), weight) for index, weight in ((self.labels, LABEL_WEIGHT), (self.aliases, ALIAS_WEIGHT), (self.content, CONTENT_WEIGHT), (self.metadata, METADATA_WEIGHT))]
+    def scores(self, queries: DataFrame) -> DataFrame:
+        """``query_id, id, score``: the weighted scores of the fields and, where there are vectors, of those, above 0 only."""
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight")) for f, w in FIELD_WEIGHTS.items()]))
+        asked = queries.select("query_id", "query", each.alias("f")).select("query_id", "query", "f.field")
+        weight = F.element_at(F.create_map(*[F.lit(x) for f in FIELD_WEIGHTS.items() for x in f]), F.col("field"))
+        text = bm25_normalized(self.fields, asked).select("query_id", "id", (F.col("score") * weight).alias("score"))
+        parts = [(text, 1.0)]
         if self.vectors is not None and "vector" in queries.columns:
             parts.append((semantic_scores(queries, self.vectors), SEMANTIC_WEIGHT))
-        return top_chunks(weighted_sum(queries, parts).where("score > 0"), self.chunks, top)
+        return weighted_sum(queries, parts).where("score > 0")
+
+    def rank(self, queries: DataFrame, top: int = TOP_CHUNKS) -> DataFrame:
+        """``query_id, id, score, rank`` of the best chunks."""
+        return top_chunks(self.scores(queries), self.chunks, top)
 
 
 def chunk_retriever(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, vectors: DataFrame | None = None) -> ChunkRetriever:
-    """Prepares the four text fields."""
-    fields = search_fields(chunks, nodes, edges)
-    return ChunkRetriever(chunks, *[bm25_index(fields, "id", c) for c in ("labels", "aliases", "content", "metadata")], vectors)
+    """Prepares the four text fields (G16): rows ``field, id, text``, computed once."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELD_WEIGHTS]))
+    fields = cut(search_fields(chunks, nodes, edges).select("id", each.alias("f")).select("f.field", "id", "f.text"))
+    return ChunkRetriever(chunks, bm25_index(fields, "id", "text", ("field",)), vectors)
 
 
 def top_chunks(scores: DataFrame, chunks: DataFrame, top: int, first: list[Column] | None = None) -> DataFrame:

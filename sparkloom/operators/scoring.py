@@ -53,17 +53,19 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def query_terms(queries: DataFrame, query_col: str = "query") -> DataFrame:
-    """``query_id, term, times``: a term repeated in a query counts as often."""
-    return queries.select("query_id", F.explode(tokenize(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+def query_terms(queries: DataFrame, query_col: str = "query", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """``*keys, term, times``: a term repeated in a query counts as often."""
+    return queries.select(*keys, F.explode(tokenize(F.col(query_col))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("times"))
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, query_col: str = "query") -> DataFrame:
     """``query_id, id, score`` of every document that shares a term with the query.
 
-    A grouped index has the group ``query_id``: each query meets its own corpus.
+    A grouped index adds its group to the rows; ``queries`` has the group's columns, and each row meets the corpus of its group:
+    one of its own where the group is ``query_id``, one field of many where it is that.
     """
-    terms = query_terms(queries, query_col)
+    keys = tuple(dict.fromkeys(("query_id", *index.group)))
+    terms = query_terms(queries, query_col, keys)
     on = [*index.group, "term"]
     tf = cut(term_counts(index, terms))
     df = tf.groupBy(*on).agg(F.count(F.lit(1)).alias("df"))
@@ -71,7 +73,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, query_col: str = "query")
     hits = terms.join(df, on).join(tf, on)
     hits = hits.join(stats, list(index.group)) if index.group else hits.crossJoin(stats)
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hits.groupBy("query_id", "id").agg(F.sum(F.col("times") * idf(F.col("n"), F.col("df")) * weight).alias("score"))
+    return hits.groupBy(*keys, "id").agg(F.sum(F.col("times") * idf(F.col("n"), F.col("df")) * weight).alias("score"))
 
 
 def bm25_rank(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", order_col: str = "ord") -> DataFrame:
@@ -90,14 +92,14 @@ def bm25_score(index: Bm25Index, queries: DataFrame, item_id: str) -> DataFrame:
     return queries.select("query_id").join(scores, "query_id", "left").select("query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _with_range(scores: DataFrame) -> DataFrame:
-    low_high = scores.groupBy("query_id").agg(F.min("score").alias("__low"), F.max("score").alias("__high"))
-    return scores.join(low_high, "query_id")
+def _with_range(scores: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    low_high = scores.groupBy(*keys).agg(F.min("score").alias("__low"), F.max("score").alias("__high"))
+    return scores.join(low_high, list(keys))
 
 
-def normalize_max(scores: DataFrame) -> DataFrame:
+def normalize_max(scores: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Positive scores divided by the largest of their query; others go."""
-    return _with_range(scores.where("score > 0")).withColumn("score", F.col("score") / F.col("__high")).drop("__low", "__high")
+    return _with_range(scores.where("score > 0"), keys).withColumn("score", F.col("score") / F.col("__high")).drop("__low", "__high")
 
 
 def normalize_min_max(scores: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def normalize_min_max(scores: DataFrame) -> DataFrame:
 
 def bm25_normalized(index: Bm25Index, queries: DataFrame) -> DataFrame:
     """BM25 scores divided by their maximum."""
-    return normalize_max(bm25_scores(index, queries))
+    return normalize_max(bm25_scores(index, queries), tuple(dict.fromkeys(("query_id", *index.group))))
 
 
 def semantic_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -601,9 +601,7 @@ FIELDS = """fields AS (SELECT doc_id::VARCHAR id, doc_id, n_name labels, 'land o
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by four weighted text fields (R02), all that score."""
     r = retrieval.chunk_retriever(T.chunks(spark, sf_dir), T.nodes(spark, sf_dir), T.edges(spark, sf_dir))
-    ask = T.query_set(spark)
-    parts = [(scoring.bm25_normalized(i, ask), w) for i, w in ((r.labels, 2.0), (r.aliases, 1.5), (r.content, 1.0), (r.metadata, 0.5))]
-    return scoring.weighted_sum(ask, parts).where("score > 0").select("query_id", "id", F.round("score", 6).alias("score"))
+    return r.scores(T.query_set(spark)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query()
