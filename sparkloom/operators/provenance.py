@@ -109,10 +109,16 @@ def group_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("first_ord", first["ord"]).withColumn("canonical_id", first["i"])
 
 
+#: Ids that may have been given by ``allocate_edge_ids``.
+GIVEN_ID = r"^edge-\d{4,}$"
+
+
 def allocate_edge_ids(first_edges: DataFrame, used: list[str] | None = None, keep: bool = True) -> DataFrame:
-    """``key_ord, edge_id, new_id`` of edges in order: a kept id is its own unless taken; others get the lowest free ``edge-NNNN``.
+    """``key_ord, edge_id, new_id`` of edges in order: a kept id is its own unless taken; others get the lowest free ``edge-NNNN``
+    (A12, §1.5).
 
-    Whether an id is free depends on all before it, so the fold runs in one task, on two columns (A12, §1.5).
+    The first edge of an id of another form keeps it whatever else happens. Only the rest, ids of the given form and repeated ones,
+    depend on all before them and are folded in one task, on two columns.
     """
 
     def run(batches):
@@ -121,8 +127,8 @@ def allocate_edge_ids(first_edges: DataFrame, used: list[str] | None = None, kee
         taken, next_free = set(used or ()), 1
         for batch in batches:
             out = []
-            for edge in batch["edge_id"]:
-                if not keep or edge in taken:
+            for edge, again in zip(batch["edge_id"], batch["again"], strict=True):
+                if not keep or again or edge in taken:
                     while f"edge-{next_free:04d}" in taken:
                         next_free += 1
                     edge = f"edge-{next_free:04d}"
@@ -131,7 +137,16 @@ def allocate_edge_ids(first_edges: DataFrame, used: list[str] | None = None, kee
                 out.append(edge)
             yield pd.DataFrame({"key_ord": batch["key_ord"], "edge_id": batch["edge_id"], "new_id": out})
 
-    return first_edges.select("key_ord", "edge_id").repartition(1).sortWithinPartitions("key_ord").mapInPandas(run, "key_ord long, edge_id string, new_id string")
+    first = F.row_number().over(Window.partitionBy("edge_id").orderBy("key_ord"))
+    rows = first_edges.select("key_ord", "edge_id").withColumn("again", F.lit(False))
+    free = F.lit(False)
+    if keep:
+        taken = F.col("edge_id").isin(list(used)) if used else F.lit(False)
+        rows = rows.withColumn("again", (first > 1) & ~F.col("edge_id").rlike(GIVEN_ID) | taken)
+        free = ~F.col("again") & ~F.col("edge_id").rlike(GIVEN_ID)
+    kept = rows.where(free).select("key_ord", "edge_id", F.col("edge_id").alias("new_id"))
+    folded = rows.where(~free).repartition(1).sortWithinPartitions("key_ord").mapInPandas(run, "key_ord long, edge_id string, new_id string")
+    return kept.unionByName(folded)
 
 
 def combine_graphs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -125,7 +125,8 @@ def chunk_retriever(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, vecto
 
 def top_chunks(scores: DataFrame, chunks: DataFrame, top: int, first: list[Column] | None = None) -> DataFrame:
     """The best ``top`` of each query by score, then ``first``, index and id, with their rank."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *(first or []), "index", "id")
+    # Rounded, as sums over shuffled rows may differ in the last bits, and ties are decided by what follows.
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), *(first or []), "index", "id")
     keep = [c for c in scores.columns]
     return scores.join(chunks.select("id", "index"), "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(*keep, "rank")
 

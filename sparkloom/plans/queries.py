@@ -211,7 +211,13 @@ def page_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "pages").select("page_id", F.md5(text.escape_html(F.col("html")).cast("binary")).alias("escaped"), text.thread_id(i, i + 1, i % 2 == 0).alias("thread"))
 
 
-@query()
+_BLANK = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT doc_id, -1 part, NULL::VARCHAR message, regexp_replace(regexp_replace(text, '^{_BLANK}', ''), '{_BLANK}$', '') rest FROM documents UNION ALL
+ SELECT doc_id, part + 1, CASE WHEN length(rest) > 4096 THEN regexp_replace(left(rest, n), '{_BLANK}$', '') ELSE rest END, CASE WHEN length(rest) > 4096 THEN regexp_replace(substr(rest, n + 1), '^{_BLANK}', '') ELSE '' END
+ FROM (SELECT *, CASE WHEN instr(w, chr(10)) BETWEEN 1 AND 4096 THEN 4097 - instr(w, chr(10)) WHEN instr(w, ' ') BETWEEN 1 AND 4096 THEN 4097 - instr(w, ' ') ELSE 4096 END n FROM (SELECT doc_id, part, rest, reverse(left(rest, 4097)) w FROM m WHERE rest <> '')))
+ SELECT doc_id, part, length(message) n, md5(message) digest FROM m WHERE part >= 0""")
 def message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in messages of at most 4,096 characters."""
     return T.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_messages(F.col("text"))).alias("part", "message")).select("doc_id", "part", F.length("message").alias("n"), F.md5(F.col("message").cast("binary")).alias("digest"))
@@ -379,10 +385,12 @@ def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.graph_errors(nodes, edges.unionByName(edges.where("id = 'en3'"))).distinct()
 
 
-@query()
+@query("""WITH l AS (SELECT (l_orderkey * 10 + l_linenumber) * 100000 + (l_shipdate::DATE - DATE '1970-01-01') ord, l_orderkey || '-' || l_linenumber id, 's' || l_suppkey from_id, p_name to_id, l_linestatus AS label FROM lineitem JOIN part ON l_partkey = p_partkey)
+, g AS (SELECT arg_min(id, ord) id, min(ord) o, from_id, to_id, label, count(*)::BIGINT n_provenance FROM l GROUP BY from_id, to_id, label), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) > 1 again FROM g)
+ SELECT CASE WHEN again THEN 'edge-' || lpad(n::VARCHAR, greatest(4, length(n::VARCHAR))::INT, '0') ELSE id END id, from_id, to_id, label, n_provenance FROM (SELECT *, row_number() OVER (PARTITION BY again ORDER BY o) n FROM k)""")
 def combined_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of many documents as one graph, with ids kept or given anew."""
-    edges = T.edge_provenance(spark, sf_dir).where("source = 'R'").withColumn("canonical_id", F.col("edge_id"))
+    """Edges of many documents as one graph, by ends and label, each under the id of its first edge."""
+    edges = T.edge_provenance(spark, sf_dir).withColumn("canonical_id", F.col("edge_id"))
     _, out = provenance.combine_graphs(T.node_provenance(spark, sf_dir), edges)
     return out.select("id", "from_id", "to_id", "label", "n_provenance")
 
@@ -595,16 +603,19 @@ FIELDS = """fields AS (SELECT doc_id::VARCHAR id, doc_id, n_name labels, 'land o
  FROM documents JOIN nation ON n_nationkey = doc_id % 25 LEFT JOIN supplier ON s_suppkey = doc_id)"""
 
 
-@query(f"""WITH {FIELDS}, {sql_field("l", "labels", 2.0)}, {sql_field("a", "aliases", 1.5)}, {sql_field("c", "content", 1.0)}, {sql_field("m", "metadata", 0.5)},
- s AS (SELECT query_id, id, sum(score) score FROM (SELECT * FROM w_l UNION ALL SELECT * FROM w_a UNION ALL SELECT * FROM w_c UNION ALL SELECT * FROM w_m) GROUP BY ALL)
- SELECT query_id, id, round(score, 6) score FROM s WHERE score > 0""")
+DIRECT = f"""{FIELDS}, {sql_field("l", "labels", 2.0)}, {sql_field("a", "aliases", 1.5)}, {sql_field("c", "content", 1.0)}, {sql_field("m", "metadata", 0.5)},
+ s AS (SELECT query_id, id, sum(score) score FROM (SELECT * FROM w_l UNION ALL SELECT * FROM w_a UNION ALL SELECT * FROM w_c UNION ALL SELECT * FROM w_m) GROUP BY ALL),
+ direct AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id::BIGINT, id) AS rank FROM s WHERE score > 0) WHERE rank <= 5)"""
+
+
+@query(f"WITH {DIRECT} SELECT query_id, id, round(score, 6) score FROM s WHERE score > 0")
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by four weighted text fields (R02), all that score."""
     r = retrieval.chunk_retriever(T.chunks(spark, sf_dir), T.nodes(spark, sf_dir), T.edges(spark, sf_dir))
     return r.scores(T.query_set(spark)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"WITH {DIRECT} SELECT query_id, id, round(score, 6) score, rank FROM direct")
 def chunk_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best chunks of each query."""
     r = retrieval.chunk_retriever(T.chunks(spark, sf_dir), T.nodes(spark, sf_dir), T.edges(spark, sf_dir))
@@ -643,27 +654,91 @@ def two_hop_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.unique_paths(two).select(F.array_join(key, ">").alias("path"), F.array_join(F.reverse("node_ids"), ">").alias("last_nodes"))
 
 
+# The graph side: nodes, edges and seeds, then ranked paths hop by hop.
+GRAPH = f"""{NODES}, own AS (SELECT 'n' || (doc_id % 25)::INT id, list(doc_id::VARCHAR ORDER BY doc_id) c FROM documents GROUP BY 1),
+ gn AS (SELECT 'r' || r_regionkey id, r_name || chr(10) || 'organization' t, NULL::VARCHAR[] c FROM region UNION ALL SELECT 'n' || n_nationkey, n_name || chr(10) || 'concept' || chr(10) || 'land of ' || lower(n_name) || chr(10) || 'country', c FROM nation LEFT JOIN own ON own.id = 'n' || n_nationkey
+ UNION ALL SELECT 's' || s_suppkey, s_name || chr(10) || 'organization' || chr(10) || '{{"nation": ' || s_nationkey || '}}', NULL FROM supplier),
+ ge AS (SELECT 'en' || n_nationkey id, 'n' || n_nationkey f, 'r' || n_regionkey t, 'part of' lab, [n_nationkey::VARCHAR] c FROM nation UNION ALL SELECT 'es' || s_suppkey, 's' || s_suppkey, 'n' || s_nationkey, 'located in', [s_suppkey::VARCHAR] FROM supplier),
+ adj AS (SELECT f x, id e, t y FROM ge UNION ALL SELECT t, id, f FROM ge),
+ nm AS (SELECT id, ' ' || array_to_string({TOKENS.format('name')}, ' ') || ' ' p, len({TOKENS.format('name')}) l FROM (SELECT id, unnest(names) name FROM nd)),
+ mq AS (SELECT query_id, {TOKENS.format('query')} t FROM {ASK}), mp AS (SELECT query_id, t, unnest(range(1, len(t) + 1)) s FROM mq),
+ mh AS (SELECT query_id, id, s, l FROM mp JOIN nm ON s + l - 1 <= len(t) AND ' ' || array_to_string(t[s:s + l - 1], ' ') || ' ' = p WHERE l > 0),
+ ment AS (SELECT DISTINCT query_id, id FROM mh h WHERE NOT EXISTS (SELECT 1 FROM mh o WHERE o.query_id = h.query_id AND o.s <= h.s AND h.s + h.l <= o.s + o.l AND o.l > h.l))"""
+
+
+def sql_named(body: str, name: str) -> str:
+    """The CTEs of ``sql_bm25`` under names of their own."""
+    for cte in ("docs", "toks", "stat", "ask", "qt", "bm", "term", "tf", "df"):
+        body = body.replace(f"{cte} AS (", f"{cte}_{name} AS (").replace(f"FROM {cte} ", f"FROM {cte}_{name} {cte} ").replace(f"JOIN {cte} ", f"JOIN {cte}_{name} {cte} ").replace(f"FROM {cte})", f"FROM {cte}_{name} {cte})").replace(f"FROM {cte},", f"FROM {cte}_{name} {cte},")
+    return body
+
+
+def sql_unique(paths: str, name: str) -> str:
+    return f"""{name} AS (SELECT query_id, b.n, b.e, b.seed FROM (SELECT query_id, CASE WHEN e <= list_reverse(e) THEN e ELSE list_reverse(e) END k, arg_max({{n: n, e: e, seed: seed}}, {{seed: seed, r: list_reverse(n)}}) b FROM ({paths}) GROUP BY query_id, k))"""
+
+
+def sql_rank(paths: str, x: str) -> str:
+    """CTEs ending in ``{x}_r``: the paths (query_id, n, e, seed) with score, place and evidence chunks."""
+    grouped = lambda t: f"""{x}_{t}k AS (SELECT query_id, p, {TOKENS.format(t)} t FROM {x}_f), {x}_{t}s AS (SELECT query_id, count(*) cnt, avg(len(t)) mean FROM {x}_{t}k GROUP BY 1),
+ {x}_{t}f AS (SELECT query_id, p, dl, term, count(*) tf FROM (SELECT query_id, p, len(t) dl, unnest(t) term FROM {x}_{t}k) GROUP BY ALL), {x}_{t}d AS (SELECT query_id, term, count(*) df FROM {x}_{t}f GROUP BY ALL),
+ {x}_{t}b AS (SELECT query_id, p, sum(times * ln(1 + (cnt - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) score FROM (SELECT query_id, term, count(*) times FROM (SELECT query_id, unnest(t) term FROM mq) GROUP BY ALL)
+ JOIN {x}_{t}d USING (query_id, term) JOIN {x}_{t}f USING (query_id, term) JOIN {x}_{t}s USING (query_id) GROUP BY ALL), {x}_{t}n AS (SELECT query_id, p, score / max(score) OVER (PARTITION BY query_id) score FROM {x}_{t}b)"""
+    return f"""{x}_p AS (SELECT *, array_to_string(n, '>') || '|' || array_to_string(e, '>') p FROM {paths}),
+ {x}_s AS (SELECT query_id, p, i, CASE WHEN f = n[i] THEN lab ELSE 'inverse ' || lab END step, ge.c, n FROM (SELECT *, unnest(e) eid, generate_subscripts(e, 1) i FROM {x}_p) JOIN ge ON ge.id = eid),
+ {x}_t AS (SELECT query_id, p, string_agg(a.t || chr(10) || step || chr(10) || b.t, chr(10) ORDER BY i) ptext FROM {x}_s JOIN gn a ON a.id = n[i] JOIN gn b ON b.id = n[i + 1] GROUP BY ALL),
+ {x}_o AS (SELECT query_id, p, 0 block, i, unnest(c) ch, generate_subscripts(c, 1) w FROM {x}_s UNION ALL SELECT query_id, p, 1, i, unnest(c), generate_subscripts(c, 1) FROM (SELECT query_id, p, unnest(n) nid, generate_subscripts(n, 1) i FROM {x}_p) JOIN gn ON gn.id = nid),
+ {x}_w AS (SELECT query_id, p, block, ch, min(i * 1000000 + w) o FROM {x}_o WHERE ch IN (SELECT doc_id::VARCHAR FROM documents) GROUP BY ALL),
+ {x}_v AS (SELECT query_id, p, list(ch ORDER BY o) ch, string_agg(text, chr(10) ORDER BY o) vtext FROM {x}_w z JOIN documents ON doc_id::VARCHAR = ch WHERE block = (SELECT min(block) FROM {x}_w y WHERE y.query_id = z.query_id AND y.p = z.p) GROUP BY ALL),
+ {x}_f AS (SELECT x.*, ptext, coalesce(vtext, '') vtext, coalesce(ch, []) ch FROM {x}_p x JOIN {x}_t USING (query_id, p) LEFT JOIN {x}_v USING (query_id, p)),
+ {grouped("ptext")}, {grouped("vtext")},
+ {x}_c AS (SELECT query_id, p, list(s ORDER BY s DESC) s, sum(m) m FROM (SELECT z.query_id, p, coalesce(seeds.score, 0) s, CASE WHEN ment.id IS NOT NULL THEN 1 ELSE 0 END m FROM (SELECT query_id, p, unnest(n) nid FROM {x}_p) z
+ LEFT JOIN seeds ON seeds.query_id = z.query_id AND seeds.id = nid LEFT JOIN ment ON ment.query_id = z.query_id AND ment.id = nid) GROUP BY ALL),
+ {x}_q AS (SELECT {x}_f.query_id, n, e, seed, ch, (coalesce(a.score, 0) + 0.5 * coalesce(b.score, 0) + (s[1] + coalesce(s[2], 0)) / 2 + m) * pow(0.85, len(e) - 1) total FROM {x}_f JOIN {x}_c USING (query_id, p) LEFT JOIN {x}_ptextn a USING (query_id, p) LEFT JOIN {x}_vtextn b USING (query_id, p)),
+ {x}_m AS (SELECT *, CASE WHEN total > 0 THEN total / max(total) OVER (PARTITION BY query_id) ELSE 0 END score FROM {x}_q), {x}_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, len(e), n, e) place FROM {x}_m)"""
+
+
+_GROWN = "SELECT f.query_id, list_append(f.n, y) n, list_append(f.e, adj.e) e, f.seed FROM {} f JOIN adj ON adj.x = f.n[-1] WHERE NOT list_contains(f.n, y)"
+PATHS = f"""{GRAPH}, {sql_named(sql_bm25("SELECT id, label AS text FROM nd", f"SELECT * FROM {ASK}"), "sl")}, {sql_named(sql_bm25("SELECT id, t AS text FROM gn", f"SELECT * FROM {ASK}"), "sm")},
+ sd AS (SELECT query_id, id, sum(score) score FROM (SELECT query_id, id, 2 * score / max(score) OVER (PARTITION BY query_id) score FROM bm_sl UNION ALL SELECT query_id, id, 2 FROM ment UNION ALL SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) FROM bm_sm) GROUP BY ALL),
+ seeds AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) score FROM sd),
+ h0 AS (SELECT query_id, [id] n, []::VARCHAR[] e, score seed FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) k FROM seeds) WHERE k <= 5),
+ {sql_unique(_GROWN.format("h0"), "g1")}, {sql_rank("g1", "h1")}, k1 AS (SELECT query_id, n, e, seed FROM h1_r WHERE place <= 50),
+ {sql_unique(_GROWN.format("k1"), "g2")}, {sql_rank("g2", "h2")}, k2 AS (SELECT query_id, n, e, seed FROM h2_r WHERE place <= 50),
+ {sql_unique("SELECT * FROM k1 UNION ALL SELECT * FROM k2", "g3")}, {sql_rank("g3", "h3")},
+ paths AS (SELECT * FROM (SELECT query_id, n, e, ch, score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM h3_r WHERE len(ch) > 0) WHERE rank <= 5),
+ gc AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) score FROM (SELECT query_id, id, sum(1.0::DOUBLE / rank) score FROM (SELECT query_id, rank, unnest(ch) id FROM paths) GROUP BY ALL)),
+ graph AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id::BIGINT, id) AS rank FROM gc) WHERE rank <= 5)"""
+HYBRID = f"""{PATHS}, {DIRECT}, hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best_rank, id::BIGINT, id) AS rank FROM
+ (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) score, min(rank) best_rank FROM (SELECT query_id, id, rank FROM direct UNION ALL SELECT query_id, id, rank FROM graph) GROUP BY ALL)) WHERE rank <= 5)"""
+
+
 def _hybrid(spark: SparkSession, sf_dir: str):
     c, n, e = T.chunks(spark, sf_dir), T.nodes(spark, sf_dir), T.edges(spark, sf_dir)
     g = retrieval.graph_retriever(c, n, e)
     return c, n, e, retrieval.chunk_retriever(c, n, e), g, g.best_paths(T.query_set(spark))
 
 
-@query()
+@query(f"WITH {PATHS} SELECT query_id, rank, round(score, 6) score, array_to_string(n, '>') nodes, array_to_string(e, '>') edges FROM paths")
 def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best paths with evidence of each query."""
     *_, paths = _hybrid(spark, sf_dir)
     return paths.select("query_id", "rank", F.round("score", 6).alias("score"), F.array_join("node_ids", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edges"))
 
 
-@query()
+@query(f"WITH {HYBRID} SELECT query_id, id, round(score, 9) score, best_rank, rank FROM hits")
 def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by both retrievers, fused."""
     c, _, _, direct, graph, paths = _hybrid(spark, sf_dir)
     return retrieval.fuse(direct.rank(T.query_set(spark)), graph.rank(paths), c).select("query_id", "id", F.round("score", 9).alias("score"), "best_rank", "rank")
 
 
-@query()
+@query(f"""WITH {HYBRID}, lb AS (SELECT id, split_part(t, chr(10), 1) AS label FROM gn),
+ ev AS (SELECT query_id, string_agg('[' || id || ' | documents/' || source || CASE WHEN doc_id % 3 = 0 THEN ' | p. ' || (doc_id % 9 + 1) ELSE '' END || ' | ' || lang || ' > ' || source || ']' || chr(10) || text || chr(10) || 'Linked entities:' || chr(10) || '- ' || n.n_name || ' [concept] | aliases: land of ' || lower(n.n_name) || ' | suggested type: country'
+ || CASE WHEN doc_id < 25 OR s_suppkey IS NOT NULL THEN chr(10) || 'Linked relationships:' ELSE '' END || CASE WHEN doc_id < 25 THEN chr(10) || '- ' || n.n_name || ' --part of--> ' || r_name ELSE '' END || CASE WHEN s_suppkey IS NOT NULL THEN chr(10) || '- ' || s_name || ' --located in--> ' || x.n_name ELSE '' END || chr(10), chr(10) ORDER BY rank) t
+ FROM hits JOIN documents ON doc_id::VARCHAR = id JOIN nation n ON n.n_nationkey = doc_id % 25 JOIN region ON r_regionkey = n.n_regionkey LEFT JOIN supplier ON s_suppkey = doc_id LEFT JOIN nation x ON x.n_nationkey = s_nationkey GROUP BY query_id),
+ st AS (SELECT query_id, rank, string_agg(CASE WHEN f = n[i] THEN '--' || lab || '--> ' ELSE '<--' || lab || '-- ' END || lb.label, ' ' ORDER BY i) l FROM (SELECT *, unnest(e) eid, generate_subscripts(e, 1) i FROM paths) JOIN ge ON ge.id = eid JOIN lb ON lb.id = n[i + 1] GROUP BY ALL),
+ pl AS (SELECT query_id, chr(10) || 'Graph paths:' || chr(10) || string_agg('- ' || lb.label || ' ' || l || chr(10) || '  Evidence chunks: ' || array_to_string(ch, ', '), chr(10) ORDER BY rank) t FROM paths JOIN st USING (query_id, rank) JOIN lb ON lb.id = n[1] GROUP BY query_id)
+ SELECT q.query_id, regexp_replace(concat_ws(chr(10), 'Query: ' || q.query, '', 'Evidence:', coalesce(ev.t, '- None'), pl.t), '\\s+$', '') context_text FROM {ASK} LEFT JOIN ev USING (query_id) LEFT JOIN pl USING (query_id)""")
 def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader of each query's results is shown."""
     c, n, e, direct, graph, paths = _hybrid(spark, sf_dir)
@@ -694,7 +769,10 @@ def audio_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.explode(documents.audio_windows(F.col("ms"))).alias("w")).select("event_id", "w.start_ms", "w.end_ms")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, doc_id page, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id, n_chars) i FROM documents),
+ b AS (SELECT source, page, i, 1 batch, 1 k, n_chars c FROM o WHERE i = 1 UNION ALL SELECT o.source, o.page, o.i, CASE WHEN fits THEN batch ELSE batch + 1 END, CASE WHEN fits THEN k + 1 ELSE 1 END, CASE WHEN fits THEN c + o.n_chars ELSE o.n_chars END
+ FROM (SELECT b.source bs, b.i bi, batch, k, c, x.n_chars nx, k < 2 AND c + x.n_chars <= 16000 fits FROM b JOIN o x ON x.source = b.source AND x.i = b.i + 1) z JOIN o ON o.source = bs AND o.i = bi + 1)
+ SELECT source, page::INT page, batch::INT batch FROM b""")
 def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of pages: neighbouring ones, few and short enough."""
     d = T.table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("int").alias("page"), F.col("n_chars"))
@@ -803,14 +881,18 @@ def subquestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.size(agent.clean_subquestions(F.col("q"))).cast("long").alias("n"))
 
 
-@query()
+@query("SELECT sha256(text) text_hash, 16 n, 'hash-16' embedding_model FROM benchmark")
 def embedded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of test items by an injected client, one call for several texts."""
     b = T.table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("text_hash"), "text")
     return clients.embed_texts(b, clients.HashEmbeddings()).select("text_hash", F.size("vector").alias("n"), "embedding_model")
 
 
-@query()
+CAPITALS = """cw AS (SELECT id, i, trim(x, '.,;:!?') w FROM (SELECT id, unnest(ws) x, generate_subscripts(ws, 1) i FROM (SELECT id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') ws FROM ct)) WHERE regexp_matches(x, '^\\p{Lu}') AND length(x) > 2),
+ cn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) k FROM (SELECT id, w, min(i) i FROM cw GROUP BY id, w) QUALIFY k <= 8)"""
+
+
+@query(f"WITH ct AS (SELECT 'b' || item_id id, text FROM benchmark), {CAPITALS} SELECT id chunk_id, id || '::node-' || lpad(k::VARCHAR, 4, '0') id, w AS label, 'concept' AS type FROM cn")
 def extracted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk graphs of test items by an injected extractor."""
     c = T.table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("key"), F.concat(F.lit("b"), "item_id").alias("id"), F.lit("documents/benchmark.md").alias("source"), F.col("item_id").cast("int").alias("index"), "text", F.array().cast("array<string>").alias("heading_path"))
