@@ -62,18 +62,6 @@ def materialize_edges(provenance: DataFrame) -> DataFrame:
     return base.join(chunks, "id", "left").select("id", "from_id", "to_id", "label", "properties", F.coalesce("chunk", _empty()).alias("chunk_ids"), "n_provenance")
 
 
-def node_contributions(nodes: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Provenance rows of document graphs' nodes (G08). nodes: ``source, ord, id, label, …``; metadata: ``source, content_hash``."""
-    rows = nodes.join(metadata.select("source", "content_hash"), "source")
-    return rows.select(F.col("id").alias("canonical_id"), "ord", "source", "content_hash", F.col("id").alias("node_id"), "label", "type", "suggested_type", "aliases", "properties", "chunk_ids", _empty().alias("resolution_aliases"))
-
-
-def edge_contributions(edges: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Provenance rows of document graphs' edges."""
-    rows = edges.join(metadata.select("source", "content_hash"), "source")
-    return rows.select(F.col("id").alias("canonical_id"), "ord", "source", "content_hash", F.col("id").alias("edge_id"), "from_id", "to_id", "label", "properties", "chunk_ids")
-
-
 def keep_sources(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Provenance of the given sources only; edges that lose an end go (P07). Takes and returns provenance."""
     kept = nodes.join(sources.select("source"), "source", "left_semi")

@@ -3,7 +3,7 @@
 Candidate search is relational: equal normal names, comparable types, and vectors near enough. The decision itself is a fold,
 because every merge changes the names, the type and the text that later nodes are compared with. Folds of different documents
 are independent and run as one group each; the fold over the whole knowledge base takes only the new nodes and the
-canonical rows that can meet them.
+canonical rows that can meet them, block by block.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def similar_in_blocks(incoming: DataFrame, canonical: DataFrame, *, min_similari
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "match_id": [], "similarity": [], "place": []})
+            return pd.DataFrame([], columns=["id", "match_id", "similarity", "place"], dtype=object)
         right = right.sort_values("other_id", kind="stable")
         a, b = unit(np.stack(left["vector"]).astype(np.float32)), unit(np.stack(right["other"]).astype(np.float32))
         ids, names, out = left["id"].to_numpy(), right["other_id"].to_numpy(), []
@@ -75,7 +75,7 @@ def similar_in_blocks(incoming: DataFrame, canonical: DataFrame, *, min_similari
                 fit = np.flatnonzero((s >= min_similarity) & (names != own))
                 fit = fit[np.argsort(-s[fit], kind="stable")][:top_k]
                 out += [(own, names[k], float(s[k]), place) for place, k in enumerate(fit, 1)]
-        return pd.DataFrame(out, columns=["id", "match_id", "similarity", "place"])
+        return pd.DataFrame(out, columns=["id", "match_id", "similarity", "place"], dtype=object)
 
     kind, match = incoming.schema["id"].dataType.simpleString(), canonical.schema["id"].dataType.simpleString()
     a = incoming.select(F.col("id").alias("id"), F.col("block").alias("block"), F.col("vector").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
@@ -83,14 +83,6 @@ def similar_in_blocks(incoming: DataFrame, canonical: DataFrame, *, min_similari
     return a.groupBy("block", "slice").cogroup(b.groupBy("block", "slice")).applyInPandas(run, f"id {kind}, match_id {match}, similarity double, place int")
 
 
-def similar_pairs(vectors: DataFrame, min_similarity: float) -> DataFrame:
-    """``id, match_id, similarity`` of one block column's pairs by a plain join; for small blocks and as a check."""
-    a = vectors.select("id", "block", F.col("vector").alias("v"))
-    b = vectors.select(F.col("id").alias("match_id"), "block", F.col("vector").alias("w"))
-    score = dot(F.col("v"), F.col("w")) / (norm(F.col("v")) * norm(F.col("w")))
-    return a.join(b, "block").where("id < match_id").select("id", "match_id", score.alias("similarity")).where(F.col("similarity") >= min_similarity)
-
-
 def accepted(decisions: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Decisions with ``accepted_id``: the target of a merge that is a candidate and sure enough, else null."""
     ok = (F.col("decision") == "merge") & F.array_contains("candidate_ids", F.col("target_id")) & (F.col("confidence") >= min_confidence)
@@ -272,9 +264,13 @@ class Resolver:
     def _embed(self, texts: list[str]) -> None:
         new = [t for t in dict.fromkeys(texts) if t not in self.vectors]
         for text, vector in zip(new, self.embed(new) if new else [], strict=True):
-            v = np.asarray(vector, np.float32)
-            size = np.linalg.norm(v)
-            self.vectors[text] = v if size == 0 else v / size
+            self.learn(text, vector)
+
+    def learn(self, text: str, vector: Iterable[float]) -> None:
+        """A vector that is known already."""
+        v = np.asarray(vector, np.float32)
+        size = np.linalg.norm(v)
+        self.vectors[text] = v if size == 0 else v / size
 
     def text_of(self, entity: Entity) -> str:
         return entity.text(self.relations.get(entity.id, ()))
@@ -352,31 +348,107 @@ def judge_payload(node: Entity, candidates: list[tuple[Entity, float]]) -> str:
     return canonical_json({"incoming": one(node), "candidates": [{**one(e), "similarity": round(s, 6)} for e, s in candidates]})
 
 
-RESOLVED = "source string, node_id string, entity_id string, ord long"
+RESOLVED = "source string, node_id string, entity_id string, resolution_aliases array<string>"
+#: Neighbours by vector that put a node into a block of the fold.
+BLOCK_NEIGHBORS = 50
 
 
-def resolve_documents(nodes: DataFrame, make: Callable[[], Resolver]) -> DataFrame:
-    """``source, node_id, entity_id, ord``: resolution within each document, documents side by side.
+def _text(value) -> str | None:
+    return value if isinstance(value, str) and value else None
 
-    nodes: ``source, content_hash, ord, id, label, type, suggested_type, aliases, properties, chunk_ids``. A group is one
-    document's nodes.
-    """
+
+def _list(value) -> tuple:
+    return tuple(value) if value is not None else ()
+
+
+def _part(r) -> Contribution:
+    return Contribution(r.source, r.content_hash, r.node_id, r.label, r.type, _text(r.suggested_type), _list(r.aliases), r.properties or "{}", _list(r.chunk_ids), _list(r.resolution_aliases))
+
+
+def _fold(frame, make: Callable[[], Resolver], within: bool):
+    """Rows of one fold, by ``ord``: known entities' contributions (``fresh`` 0), and new nodes, graph by graph."""
     import pandas as pd
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        entities = [_entity(r) for r in frame.itertuples(index=False)]
-        resolver = make()
-        known = (frame["source"].iloc[0], frame["content_hash"].iloc[0])
-        ids = resolver.combine([(known, entities)], within=True)
-        return pd.DataFrame({"source": frame["source"], "node_id": frame["id"], "entity_id": [ids[i] for i in frame["id"]], "ord": frame["ord"]})
+    known: dict[str, list[Contribution]] = {}
+    graphs: dict[tuple[str, str], list[Entity]] = {}
+    resolver = make()
+    told: dict[str, np.ndarray] = {}
+    for r in frame.sort_values(["ord", "node_id"]).itertuples(index=False):
+        if r.fresh:
+            graphs.setdefault((r.source, r.content_hash), []).append(Entity(r.node_id, (_part(r),)))
+        else:
+            known.setdefault(r.canonical_id, []).append(_part(r))
+        if r.relations is not None and len(r.relations):
+            resolver.relations[r.canonical_id] = list(r.relations)
+        if r.vector is not None:
+            told[r.canonical_id] = r.vector
+    entities = [Entity(i, tuple(parts)) for i, parts in known.items()]
+    for e in [*entities, *(e for nodes in graphs.values() for e in nodes)]:
+        if e.id in told:
+            resolver.learn(resolver.text_of(e), told[e.id])
+    resolver.start(entities)
+    out = []
+    for key, nodes in graphs.items():
+        ids = resolver.combine([(key, nodes)], within=within)
+        for e in nodes:
+            extra = next((p.resolution_aliases for p in resolver.entities[ids[e.id]].parts if (p.source, p.content_hash, p.node_id) == (*key, e.id)), ())
+            out.append((key[0], e.id, ids[e.id], list(extra)))
+    return pd.DataFrame(out, columns=["source", "node_id", "entity_id", "resolution_aliases"], dtype=object)
+
+
+_FOLDED = ["canonical_id", "ord", "source", "content_hash", "node_id", "label", "type", "suggested_type", "aliases", "properties", "chunk_ids", "resolution_aliases"]
+
+
+def with_signals(rows: DataFrame, relations: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Provenance rows with what a node's edges say and its vector, where there are any. relations: ``id, relations``; vectors: ``id, vector``."""
+    r = relations.select(F.col("id").alias("canonical_id"), "relations")
+    v = vectors.select(F.col("id").alias("canonical_id"), F.col("vector").cast("array<float>").alias("vector"))
+    return rows.select(*_FOLDED).join(r, "canonical_id", "left").join(v, "canonical_id", "left")
+
+
+def resolve_documents(nodes: DataFrame, make: Callable[[], Resolver]) -> DataFrame:
+    """``source, node_id, entity_id, resolution_aliases``: resolution within each document, documents side by side.
+
+    nodes: see ``with_signals``, the canonical id being the node's own. A group is one document's nodes.
+    """
+    return nodes.withColumn("fresh", F.lit(1)).groupBy("source").applyInPandas(lambda frame: _fold(frame, make, True), RESOLVED)
 
-    return nodes.groupBy("source").applyInPandas(run, RESOLVED)
 
+def fold_blocks(old: DataFrame, new: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """``canonical_id, block``: nodes that the fold may bring together, directly or through others.
 
-def _entity(r) -> Entity:
-    text = lambda v: v if isinstance(v, str) and v else None
-    return Entity(r.id, (Contribution(r.source, r.content_hash, r.id, r.label, r.type, text(r.suggested_type), tuple(r.aliases if r.aliases is not None else ()), r.properties or "{}", tuple(r.chunk_ids if r.chunk_ids is not None else ())),))
+    Nodes meet by a common normal name, by an equal id, or as neighbours by vector whose types can be compared. Names and ids are
+    vertices of their own, so a name that many nodes have costs one link for each.
+    """
+    every = old.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)))
+    vertex = F.concat(F.when(F.col("fresh") == 1, "n:").otherwise("c:"), "canonical_id")
+    names = every.select(vertex.alias("lo"), F.explode(normal_names(F.col("label"), F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("resolution_aliases", F.array().cast("array<string>"))))).alias("m"))
+    links = names.select("lo", F.concat(F.lit("w:"), "m").alias("hi")).unionByName(every.select(vertex.alias("lo"), F.concat(F.lit("i:"), "canonical_id").alias("hi")))
+    # Each node stands in the blocks of the types that it can be compared with.
+    kind = normal_type(F.col("type"))
+    one = every.where("vector IS NOT NULL").groupBy("canonical_id", "fresh").agg(F.min_by("vector", "ord").alias("vector"), F.min_by(kind, "ord").alias("t"))
+    one = cut(one.withColumn("id", F.concat(F.when(F.col("fresh") == 1, "n:").otherwise("c:"), "canonical_id")))
+    types = one.select(F.col("t").alias("block")).distinct()  # a few dozen
+    wild = one.where(F.col("t") == UNCLASSIFIED).crossJoin(F.broadcast(types)).select("id", "block", "vector")
+    right = wild.unionByName(one.where(F.col("t") != UNCLASSIFIED).select("id", F.explode(F.array("t", F.lit(UNCLASSIFIED))).alias("block"), "vector"))
+    left = one.where("fresh = 1").select("id", F.col("t").alias("block"), "vector")
+    near = similar_in_blocks(left, right, min_similarity=min_similarity, top_k=BLOCK_NEIGHBORS)
+    links = links.unionByName(near.select(F.col("id").alias("lo"), F.col("match_id").alias("hi"))).distinct()
+    found = components(links).select(F.col("node").alias("v"), F.col("component").alias("block"))
+    return every.select("canonical_id", "fresh", vertex.alias("v")).distinct().join(found, "v", "left").select("canonical_id", "fresh", F.coalesce("block", "v").alias("block"))
+
+
+def resolve_into(old: DataFrame, new: DataFrame, make: Callable[[], Resolver], min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """``source, node_id, entity_id, resolution_aliases``: new documents' nodes resolved into the known entities.
+
+    Both sides: see ``with_signals``. Candidates are those known when a document begins. The fold runs once for each block of nodes that
+    can meet; a merged entity's new text is compared inside its block only.
+    """
+    rows = old.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)))
+    blocks = cut(fold_blocks(old, new, min_similarity))
+    live = blocks.where("fresh = 1").select("block").distinct()
+    grouped = rows.join(blocks.join(live, "block", "left_semi"), ["canonical_id", "fresh"])
+    return grouped.groupBy("block").applyInPandas(lambda frame: _fold(frame, make, False), RESOLVED)
 
 
 def connected_entities(pairs: DataFrame, rounds: int = 30) -> DataFrame:

@@ -327,3 +327,8 @@ def in_scope(source: Column, prefix: Column | str) -> Column:
     path = F.replace(source, F.lit("\\"), F.lit("/"))
     prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
     return (path == prefix) | F.startswith(path, F.concat(prefix, F.lit("/")))
+
+
+def scoped_vectors(vectors: DataFrame | None, chunks: DataFrame) -> DataFrame | None:
+    """Stored vectors of the given chunks only."""
+    return None if vectors is None else vectors.join(chunks.select("id"), "id", "left_semi")

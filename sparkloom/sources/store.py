@@ -1,8 +1,9 @@
 """Snapshot tables with all-or-nothing commits.
 
-A commit writes every changed table into a folder of a new version, with Parquet's own committer, then publishes by one rename
-of a pointer file. Readers see the version that the pointer named when they asked; an unfinished commit leaves folders that nothing
-names. Paths go through Hadoop's file system interface, so any shared store that Spark can write to will do.
+A commit writes every changed table into a folder of a new version, with Parquet's own committer, then publishes by one rename of
+a draft to a pointer file of that version. Readers take the pointer with the highest number; there is always one, and an unfinished
+commit leaves folders that no pointer names. A version that another writer has published meanwhile is not overwritten: the commit
+raises. Paths go through Hadoop's file system interface, so any shared store that Spark can write to will do.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ TABLES = {
     "chunks": ["id"], "chunk_embeddings": ["id"], "graph_metadata": ["source"], "graph_nodes": ["source", "id"], "graph_edges": ["source", "id"],
     "graph_embeddings": ["source", "id"], "kb_nodes": ["id"], "kb_edges": ["id"], "kb_node_provenance": ["canonical_id", "ord"],
     "kb_edge_provenance": ["canonical_id", "ord"], "kb_embeddings": ["id"], "taxonomy_suggestions": ["source", "ord"], "extractions": ["key"],
+    "dropped_edges": ["source", "chunk_id", "edge_id"], "document_counters": ["source"],
 }
 
 
@@ -34,13 +36,23 @@ class SnapshotStore:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _manifest(self) -> dict:
-        """Table name to folder, of the published version; empty before the first commit."""
-        fs, place = self._fs(), self._path("CURRENT")
-        if not fs.exists(place):
-            return {}
-        text = self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).first()[0]
-        return json.loads(text)["tables"]
+    def _pointers(self) -> list[int]:
+        fs, place = self._fs(), self._path("")
+        names = [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+        return sorted(int(n[8:]) for n in names if n.startswith("CURRENT.") and n[8:].isdigit())
+
+    def _manifest(self, version: int | None = None) -> dict:
+        """Table name to folder, of a version, the last one published by default; empty before the first commit."""
+        if version is None:
+            known = self._pointers()
+            if not known:
+                return {}
+            version = known[-1]
+        return json.loads(read_text(self.spark, f"{self.root}/CURRENT.{version:010d}"))["tables"]
+
+    def version(self) -> int:
+        """The last published version, 0 before the first."""
+        return max(self._pointers(), default=0)
 
     def exists(self, name: str) -> bool:
         """Whether a table was ever published and holds a row."""
@@ -58,29 +70,26 @@ class SnapshotStore:
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
         """Publishes new snapshots of the given tables at once; the others stay as they are."""
-        known = self._manifest()
-        version = 1 + max((int(f.split("/")[0][1:]) for f in known.values()), default=0)
+        before = self.version()
+        version, known = before + 1, self._manifest(before) if before else {}
         folder = f"v{version}/{uuid.uuid4().hex[:8]}"
         for name, table in tables.items():
             table.write.parquet(f"{self.root}/{folder}/{name}")
         known |= {name: f"{folder}/{name}" for name in tables}
-        self._publish(json.dumps({"version": version, "tables": known}, sort_keys=True))
+        self._publish(version, json.dumps({"version": version, "tables": known}, sort_keys=True))
         return version
 
-    def _publish(self, text: str) -> None:
-        """Writes the pointer beside its place and renames it there."""
-        fs, draft = self._fs(), self._path(f"CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(draft, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        place = self._path("CURRENT")
-        if fs.exists(place):
-            fs.delete(place, False)
-        if not fs.rename(draft, place):
-            raise OSError("the pointer could not be renamed")
+    def _publish(self, version: int, text: str) -> None:
+        """Writes a draft and renames it to the version's pointer."""
+        place = self._path(f"CURRENT.{version:010d}")
+        if self._fs().exists(place):
+            raise FileExistsError(f"version {version} has been published by another writer")
+        write_text(self.spark, f"{self.root}/CURRENT.{version:010d}", text)
 
     def vacuum(self) -> int:
-        """Deletes versions that the pointer does not name; returns how many folders went."""
+        """Deletes all versions but the last and what it names; returns how many folders went."""
+        for old in self._pointers()[:-1]:
+            self._fs().delete(self._path(f"CURRENT.{old:010d}"), False)
         fs, live, gone = self._fs(), {f.rsplit("/", 1)[0] for f in self._manifest().values()}, 0
         for version in fs.listStatus(self._path("")):
             if version.isDirectory():
@@ -92,6 +101,34 @@ class SnapshotStore:
         return gone
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return bytes(spark._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def text_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the shared store, whole or not at all: written beside its place and renamed there."""
+    place, draft = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.draft"))
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    overwrite = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    kinds = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    kinds[0] = overwrite
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, place, kinds)
+
+
 def append_json_lines(rows: DataFrame, path: str) -> None:
     """Appends rows with the time as JSON lines, such as dropped edges."""
     rows.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")).write.mode("append").json(path)
