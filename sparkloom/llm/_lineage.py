@@ -1,38 +1,13 @@
-"""Cutting lineage through the folder that the cluster shares."""
+"""What operators need beside the engine's own cutting of lineage: free column names and hashes of whole rows."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Small rows in a file of a cut table.
-FILE_ROWS = 100_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir`` or set in the context.
-
-    Where none is named, a local session gets one of its own; on a cluster, where no machine's folder is shared, this raises.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
+from sparkloom.lineage import cut, remove, shared_dir
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder with all that is in it."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["cut", "remove", "row_hash", "shared_dir", "spare"]
 
 
 def spare(df: DataFrame, name: str) -> str:
@@ -47,17 +22,3 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     """A hash of whole rows; columns that Spark does not hash (maps) count by their JSON text."""
     odd = lambda c: any(k in df.schema[c].dataType.simpleString() for k in ("map<", "variant"))
     return F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) if odd(c) else F.col(f"`{c}`") for c in (df.columns if columns is None else columns)])
-
-
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder, so that lost executors cost no recomputation.
-
-    A table of about ``rows`` small rows is gathered into as many files as FILE_ROWS asks for, in place of one per task.
-    """
-    spark = df.sparkSession
-    df = df if rows is None else df.repartition(1 + rows // FILE_ROWS)
-    path = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
-
