@@ -4,22 +4,44 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in a file of a cut table.
 FILE_ROWS = 100_000
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir`` or set in the context.
+
+    Where none is named, a local session gets one of its own; on a cluster, where no machine's folder is shared, this raises.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    held = sc._jsc.sc().getCheckpointDir()
+    if path or held.isDefined():
+        return path or held.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a shared store with all that is in it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """The same rows, computed once and kept in the folder of ``spark.checkpoint.dir`` (a new one where none is set).
+    """The same rows, computed once and kept in the shared folder.
 
     A table of about ``rows`` small rows is gathered into as many files as FILE_ROWS asks for.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
+    sc, path = spark.sparkContext, shared_dir(spark)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+        sc.setCheckpointDir(path)
     return (df if rows is None else df.repartition(1 + rows // FILE_ROWS)).checkpoint(eager=True)
 
 

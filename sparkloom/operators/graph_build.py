@@ -100,3 +100,14 @@ def document_counters(counters: DataFrame) -> DataFrame:
 def extraction_misses(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests found in the cache, and one row for each distinct key that is not (J12). Both have ``key``."""
     return requests.join(cache, "key"), requests.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
+
+
+def heading_text(path: Column) -> Column:
+    """A heading path in one line, ``(none)`` without one."""
+    return F.when(F.size(path) > 0, F.array_join(path, " > ")).otherwise("(none)")
+
+
+def extraction_prompt(text: Column, path: Column, types: list[str]) -> Column:
+    """What a model is asked about a chunk (G21): the task with the types that may be given, where the text stands, and the text."""
+    task = f"Name the things that this text is about and how they relate, few rather than many. Types: {', '.join(types)}. Nothing of the document's own structure counts."
+    return F.concat(F.lit(task + "\n\nIt stands under (not to be used itself): "), heading_text(path), F.lit("\n\n"), text)

@@ -58,6 +58,7 @@ def aggregate_suggestions(suggestions: DataFrame) -> DataFrame:
 def promotable(aggregates: DataFrame, registry: Registry, min_nodes: int = MIN_NODES, min_sources: int = MIN_SOURCES) -> DataFrame:
     """Aggregates with enough nodes and sources whose type is not registered."""
     known = list(registry.types)
+    # Fixed value: the wording that stored audits have.
     reason = F.format_string("Appeared in %d nodes across %d source documents.", "node_count", "source_count")
     return aggregates.where((F.col("node_count") >= min_nodes) & (F.col("source_count") >= min_sources) & ~F.col("normalized").isin(known)).withColumn("reason", reason)
 

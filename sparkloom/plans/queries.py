@@ -441,10 +441,11 @@ def remapped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT 'n' || n_nationkey id, n_nationkey o, 0 s, 'outgoing part of to ' || r_name || ' (organization)' t FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL
- SELECT 'r' || n_regionkey, n_nationkey, 1, 'incoming part of from ' || n_name || ' (concept)' FROM nation) SELECT id, string_agg(t, '; ' ORDER BY o, s) relations FROM b GROUP BY id""")
+ SELECT 'r' || n_regionkey, n_nationkey, 1, 'incoming part of from ' || n_name || ' (concept)' FROM nation UNION ALL SELECT 's' || s_suppkey, 1000000000 + s_suppkey, 0, 'outgoing located in to ' || n_name || ' (concept)' FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL
+ SELECT 'n' || s_nationkey, 1000000000 + s_suppkey, 1, 'incoming located in from ' || s_name || ' (organization)' FROM supplier) SELECT id, string_agg(t, '; ' ORDER BY o, s) relations FROM b GROUP BY id""")
 def relation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a node's edges say, in order."""
-    edges = T.edges(spark, sf_dir).where("id LIKE 'en%'").withColumn("ord", F.substring("id", 3, 9).cast("long"))
+    edges = T.edges(spark, sf_dir).withColumn("ord", F.substring("id", 3, 9).cast("long") + F.when(F.col("id").startswith("es"), 1000000000).otherwise(0))
     return resolution.relation_context(T.nodes(spark, sf_dir), edges).select("id", F.array_join("relations", "; ").alias("relations"))
 
 
@@ -642,12 +643,12 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT 'n' || n_nationkey x, 'en' || n_nationkey e, 'r' || n_regionkey y FROM nation UNION ALL SELECT 's' || s_suppkey, 'es' || s_suppkey, 'n' || s_nationkey FROM supplier), u AS (SELECT * FROM a UNION ALL SELECT y, e, x FROM a),
- p AS (SELECT [f.x, f.y, g.y] n, [f.e, g.e] e FROM u f JOIN u g ON f.y = g.x AND g.y <> f.x WHERE f.x LIKE 'n%')
+ p AS (SELECT [f.x, f.y, g.y] n, [f.e, g.e] e FROM u f JOIN u g ON f.y = g.x AND g.y <> f.x)
  SELECT array_to_string(CASE WHEN e[1] < e[2] THEN e ELSE list_reverse(e) END, '>') path, array_to_string(max(list_reverse(n)), '>') last_nodes FROM p GROUP BY 1""")
 def two_hop_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-hop paths from every nation without revisits, one of both directions."""
+    """Two-hop paths from every node without revisits, one of both directions."""
     adj = retrieval.adjacency(T.edges(spark, sf_dir))
-    one = adj.where("node LIKE 'n%'").select(F.lit(1).alias("query_id"), F.array("node", "neighbor").alias("node_ids"), F.array("edge_id").alias("edge_ids"), F.lit(1.0).alias("seed_score"))
+    one = adj.select(F.lit(1).alias("query_id"), F.array("node", "neighbor").alias("node_ids"), F.array("edge_id").alias("edge_ids"), F.lit(1.0).alias("seed_score"))
     two = one.withColumn("node", F.element_at("node_ids", -1)).join(adj, "node").where(~F.array_contains("node_ids", F.col("neighbor")))
     two = two.select("query_id", F.concat("node_ids", F.array("neighbor")).alias("node_ids"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"), "seed_score")
     key = F.least("edge_ids", F.reverse("edge_ids"))
@@ -725,6 +726,22 @@ def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("query_id", "rank", F.round("score", 6).alias("score"), F.array_join("node_ids", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edges"))
 
 
+@query(f"""WITH {GRAPH}, {sql_named(sql_bm25("SELECT id, label AS text FROM nd", f"SELECT * FROM {ASK}"), "sl")}, {sql_named(sql_bm25("SELECT id, t AS text FROM gn", f"SELECT * FROM {ASK}"), "sm")},
+ cs AS (SELECT x.vec_id query_id, 's' || s_suppkey id, {COSINE.replace('a::', 'x.embedding::').replace('b::', 'y.embedding::')} c FROM embeddings x CROSS JOIN supplier JOIN embeddings y ON y.vec_id = s_suppkey WHERE x.vec_id BETWEEN 1 AND 5),
+ sv AS (SELECT query_id, id, CASE WHEN max(c) OVER w = min(c) OVER w THEN 1 ELSE (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w) END score FROM cs WHERE c > 0 WINDOW w AS (PARTITION BY query_id)),
+ sd AS (SELECT query_id, id, sum(score) score FROM (SELECT query_id, id, 2 * score / max(score) OVER (PARTITION BY query_id) score FROM bm_sl UNION ALL SELECT query_id, id, 2 FROM ment UNION ALL SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) FROM bm_sm UNION ALL SELECT * FROM sv) GROUP BY ALL)
+ SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) score FROM sd WHERE score > 0""")
+def semantic_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where graph searches begin: labels, mentions, metadata and vectors of the present model."""
+    c, n, e = T.chunks(spark, sf_dir), T.nodes(spark, sf_dir), T.edges(spark, sf_dir)
+    v = T.table(spark, sf_dir, "embeddings")
+    own = v.select(F.concat(F.lit("s"), "vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit("m").alias("embedding_model")).join(n.select("id"), "id", "left_semi")
+    old = own.withColumns({"embedding_model": F.lit("old"), "vector": F.transform("vector", lambda x: -x)})
+    ask = T.query_set(spark).join(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    g = retrieval.graph_retriever(c, n, e, own.unionByName(old), "m")
+    return g.seeds(ask, retrieval.mentions(ask, n)).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {HYBRID} SELECT query_id, id, round(score, 9) score, best_rank, rank FROM hits")
 def hybrid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by both retrievers, fused."""
@@ -779,7 +796,7 @@ def page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.page_batch_frame(d)
 
 
-@query()
+@query("""SELECT 'talks/' || conv_id || '.mp3' AS source, '# Transcript: ' || conv_id || '.mp3' || chr(10) || chr(10) || string_agg('## ' || printf('%02d:%02d:00', turn // 3, turn % 3 * 20) || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) || chr(10) AS markdown FROM conversations GROUP BY conv_id""")
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as transcripts: text that a window repeats is left out."""
     c = T.table(spark, sf_dir, "conversations").select(F.concat(F.lit("talks/"), "conv_id", F.lit(".mp3")).alias("source"), (F.col("turn") * 1200000).alias("start_ms"), "text")
@@ -802,10 +819,12 @@ def fresh_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.fresh(done, wanted, ["lang"])
 
 
-@query("SELECT 'r' || r_regionkey id, r_name AS label, '<b>id</b>: r' || r_regionkey || '<br><b>type</b>: organization<br><b>suggested_type</b>: null<br><b>chunk_ids</b>: []<br><b>properties</b>: {}' title FROM region")
+@query("""SELECT 'r' || r_regionkey id, r_name AS label, '<b>id</b>: r' || r_regionkey || '<br><b>type</b>: organization<br><b>suggested_type</b>: null<br><b>chunk_ids</b>: []<br><b>properties</b>: {}' title FROM region UNION ALL
+ SELECT 's' || s_suppkey, s_name, '<b>id</b>: s' || s_suppkey || '<br><b>type</b>: organization<br><b>suggested_type</b>: null<br><b>chunk_ids</b>: []<br><b>properties</b>: {&quot;nation&quot;: ' || s_nationkey || '}' FROM supplier UNION ALL
+ SELECT 'n' || n_nationkey, n_name, '<b>id</b>: n' || n_nationkey || '<br><b>type</b>: concept<br><b>suggested_type</b>: country<br><b>chunk_ids</b>: [' || c || ']<br><b>properties</b>: {}' FROM nation JOIN (SELECT doc_id % 25 k, string_agg('&quot;' || doc_id || '&quot;', ', ' ORDER BY doc_id) c FROM documents GROUP BY 1) ON k = n_nationkey""")
 def node_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hover texts of nodes."""
-    return html.node_titles(T.nodes(spark, sf_dir).where("id LIKE 'r%'"))
+    return html.node_titles(T.nodes(spark, sf_dir))
 
 
 SQL_STOP = "[" + ", ".join(f"'{w}'" for w in agent.STOP_WORDS) + "]"
@@ -898,3 +917,7 @@ def extracted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = T.table(spark, sf_dir, "benchmark").select(F.sha2("text", 256).alias("key"), F.concat(F.lit("b"), "item_id").alias("id"), F.lit("documents/benchmark.md").alias("source"), F.col("item_id").cast("int").alias("index"), "text", F.array().cast("array<string>").alias("heading_path"))
     got = clients.extract_chunks(c, clients.WordExtraction(), graph_build.EXTRACTION_SCHEMA)
     return graph_build.build_chunk_graphs(c, got.select("chunk_id", "nodes", "edges")).nodes.select("chunk_id", "id", "label", "type")
+
+
+# Registers its queries here; it needs what stands above.
+from sparkloom.plans import more_queries  # noqa: E402, F401

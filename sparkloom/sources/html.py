@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import shutil
 import tempfile
+from html import escape
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str | Path) -> Path:
     with tempfile.TemporaryFile("w+", encoding="utf-8") as data, place.open("w", encoding="utf-8") as page:
         page.write('<!DOCTYPE html><html><head><meta charset="utf-8"><title>Graph</title></head><body><ul>')
         for k, n in enumerate(drawn.toLocalIterator()):
-            page.write(f'<li title="{n["title"].replace(chr(34), "&quot;")}">{n["label"]}</li>')
+            page.write(f'<li title="{n["title"].replace(chr(34), "&quot;")}">{escape(n["label"] or "")}</li>')
             data.write(", " * (k > 0) + json.dumps(n.asDict()).replace("</", "<\\/"))
         page.write('</ul><script type="application/json" id="graph">{"nodes": [')
         data.seek(0)
