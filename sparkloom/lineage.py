@@ -33,6 +33,12 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a shared store when the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The same rows, computed once and kept in the shared folder.
 
@@ -42,6 +48,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     sc, path = spark.sparkContext, shared_dir(spark)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
+        delete_at_end(spark, sc._jsc.sc().getCheckpointDir().get())
     return (df if rows is None else df.repartition(1 + rows // FILE_ROWS)).checkpoint(eager=True)
 
 
