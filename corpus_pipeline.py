@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, mixing, near_dup, quality, shard_map
-from sparkloom.llm._lineage import shared_dir
+from sparkloom.lineage import delete_at_end, remove, shared_dir
+from sparkloom.llm._lineage import spare
 
 ORACLE_SQL = None
 #: Documents of this similarity of five-word shingles or more are near duplicates.
@@ -25,8 +26,9 @@ NEAR_PERCENT = 80
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; learned from the labelled ones among them."""
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, weights, score_col="__quality")
-    return scored.where(F.col("__quality") >= quality.THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
+    name = spare(docs, "__quality")
+    scored = quality.score(docs, weights, score_col=name)
+    return scored.where(F.col(name) >= quality.THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,20 +54,19 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality classifier", good_quality), ("minhash near-dedup", one_of_each), ("benchmark decontamination", no_leaks), ("mixing to target weights", mixture), ("sharding", shards)]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written to the shared folder and read again by the next."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again by the next.
+
+    A stage's table goes once the next one is written, the last with the application.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder, before = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}", None
+    delete_at_end(spark, folder)
     for k, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
-            _remove(spark, before)
+            remove(spark, before)
         before = path
     return STAGES[-1][1](spark, docs, sf_dir)
