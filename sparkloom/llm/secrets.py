@@ -87,20 +87,39 @@ def _fold(code: int) -> bytes:
     return chr(code).encode().translate(bytes(LOWER))
 
 
-def _class_strings(items: list) -> set[bytes] | None:
+#: ASCII letters that case-insensitive matching beyond ASCII takes other characters for.
+_WIDE = {"k": "\u212a", "s": "\u017f", "i": "\u0130\u0131"}
+
+
+def _literal(code: int, wide: bool) -> set[bytes] | None:
+    """The folded strings that a literal matches; None where they cannot be told. ``wide``: any case, beyond ASCII."""
+    if not wide:
+        return {_fold(code)}
+    if code > 127:
+        return {_fold(code)} if chr(code).upper() == chr(code).lower() else None
+    return {_fold(code), *(c.encode() for c in _WIDE.get(chr(code).lower(), ""))}
+
+
+def _class_strings(items: list, wide: bool) -> set[bytes] | None:
     out: set[bytes] = set()
     for op, value in items:
-        if op is C.LITERAL:
-            out.add(_fold(value))
-        elif op is C.RANGE:
-            if value[1] - value[0] > EXACT_LIMIT:
-                return None
-            out |= {_fold(c) for c in range(value[0], value[1] + 1)}
-        else:
+        codes = [value] if op is C.LITERAL else range(value[0], value[1] + 1) if op is C.RANGE and value[1] - value[0] <= EXACT_LIMIT else None
+        if codes is None:
             return None
+        for code in codes:
+            strings = _literal(code, wide)
+            if strings is None:
+                return None
+            out |= strings
     return out if len(out) <= 8 else None
 
 
+def _flags(flags: int, add: int, drop: int) -> int:
+    """Flags inside a group; a group's own kind of text, ASCII or not, replaces the outer one."""
+    kinds = re.ASCII | re.UNICODE | re.LOCALE
+    return (flags & ~kinds if add & kinds else flags) & ~drop | add
+
+
 def _join(query: list[Query], left: set[bytes] | None, right: set[bytes] | None) -> set[bytes] | None:
     """The exact strings so far continued by the next ones; what cannot be kept goes into the query."""
     if left is None or right is None or len(left) * len(right) > EXACT_LIMIT:
@@ -111,8 +130,9 @@ def _join(query: list[Query], left: set[bytes] | None, right: set[bytes] | None)
     return {a + b for a in left for b in right}
 
 
-def _walk(items: Iterable) -> tuple[set[bytes] | None, Query]:
+def _walk(items: Iterable, flags: int) -> tuple[set[bytes] | None, Query]:
     """Of a sequence: the strings that it matches exactly, or None, and a query that every match satisfies."""
+    wide = bool(flags & re.IGNORECASE) and not flags & re.ASCII
     query: list[Query] = []
     run: set[bytes] | None = {b""}
     exact = True
@@ -120,20 +140,20 @@ def _walk(items: Iterable) -> tuple[set[bytes] | None, Query]:
         piece: set[bytes] | None = None
         need: Query = True
         if op is C.LITERAL:
-            piece = {_fold(value)}
+            piece = _literal(value, wide)
         elif op is C.IN:
-            piece = _class_strings(value)
+            piece = _class_strings(value, wide)
         elif op is C.SUBPATTERN:
-            piece, need = _walk(value[-1])
+            piece, need = _walk(value[-1], _flags(flags, value[1], value[2]))
         elif op is C.BRANCH:
-            sides = [_walk(x) for x in value[1]]
+            sides = [_walk(x, flags) for x in value[1]]
             if all(s is not None for s, _ in sides) and sum(len(s) for s, _ in sides) <= EXACT_LIMIT:
                 piece = set().union(*(s for s, _ in sides))
             else:
                 need = _any(q if s is None else _all([q, _of_strings(s)]) for s, q in sides)
         elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
             least, most, body = value
-            inner, deep = _walk(body)
+            inner, deep = _walk(body, flags)
             if inner is not None and most <= 2 and len(inner) <= 4:
                 piece = set()
                 for n in range(least, most + 1):
@@ -167,7 +187,8 @@ def _walk(items: Iterable) -> tuple[set[bytes] | None, Query]:
 
 def trigram_query(pattern: str) -> Query:
     """The Boolean query of trigrams that each match of ``pattern`` satisfies; True if it has no mandatory trigram."""
-    strings, query = _walk(_parser.parse(pattern))
+    parsed = _parser.parse(pattern)
+    strings, query = _walk(parsed, parsed.state.flags)
     return _all([query, _of_strings(strings)]) if strings is not None else query
 
 
@@ -251,7 +272,6 @@ class Scanner:
         return found
 
 
-_scanners: dict[tuple, Scanner] = {}
 
 
 def joined(rules: list[Rule], spans: Iterable[tuple[int, int, int]]) -> str:

@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from itertools import product
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sparkloom.llm import decontaminate, license_scan, mixing, near_dup, quality, secrets, shard_map, tiff, token_count, url_filter
-from sparkloom.llm._text import SPACE, WORDS, shingle_hashes, word_hashes
+from sparkloom.llm._text import LOWER, SPACE, WORDS, shingle_hashes, word_hashes
 from sparkloom.llm.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -88,6 +89,17 @@ def test_secrets_on_odd_rows(spark):
     assert [s.kind for s in secrets.scan(odd(spark)).where("doc_id = 8").first().spans] == ["assign"]
 
 
+@pytest.mark.parametrize("pattern", ["(?i:abcK)", "(?i)tokens?-[ks]i", "(?i:(?a:kiss)me)", "(?ai:kiss)me", "(?i:straße)x", "(?i:[hk]is)s"])
+def test_trigram_queries_miss_no_case(pattern):
+    texts = ["".join(t) for t in product("ab", "b", "cC", ["K", "k", "\u212a"])] + ["TOKEN\u017f-\u212aI", "token-s\u0131", "TOKENS-\u017f\u0130", "\u212ai\u017f\u017fme", "KISSme", "kissme", "STRASSEX", "straßex", "STRAẞEX", "his\u017f", "\u212aISs"]
+    query = secrets.trigram_query(pattern)
+    found = re.compile(pattern)
+    for text in texts:
+        grams = {text.encode().translate(bytes(LOWER))[i : i + 3] for i in range(len(text.encode()))}
+        holds = lambda q: q is True or (q[1] in grams if q[0] == "tri" else (all if q[0] == "and" else any)(holds(x) for x in q[1]))  # noqa: B023, E731
+        assert not found.search(text) or holds(query), (pattern, text, query)
+
+
 # --- op2 -----------------------------------------------------------------------------------------------------------------
 
 
