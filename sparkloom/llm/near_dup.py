@@ -293,7 +293,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     open_pairs = name(name(near.where("NOT star"), "lo", "c_lo"), "hi", "c_hi").where("c_lo <> c_hi").select("lo", "hi")
     members = cut(name(hot, "rep", "component"), size)
     split = members.groupBy("centre").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("centre")
-    members = cut(members.join(split, "centre", "left_semi"), size)
+    # Centres are few; where they fit, members stay where they are, as a large bucket's would all meet in one task.
+    split = cut(split, size // 100)
+    members = cut(members.join(F.broadcast(split) if split.count() <= BROADCAST_IDS else split, "centre", "left_semi"), size)
     if not members.isEmpty():
         open_pairs = open_pairs.unionByName(_prefix_pairs(members.select("rep", "component").distinct(), shingles, size, percent)).distinct()
     more = cut(_confirm(open_pairs, shingles, percent), size)
