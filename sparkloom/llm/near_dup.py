@@ -253,7 +253,10 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, rows: int, percent: int)
     common = ranked.groupBy("e", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("e").agg(F.max_by("component", "k").alias("common"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("rows")).where("parts > 1")
     # The rows of a frequent shingle are dealt into slices of about SLICE rows, and the rarer side stands in each of them.
     slices = F.ceil(F.col("rows") / SLICE).cast("int")
-    ranked = cut(ranked.join(common.select("e", "common", slices.alias("slices")), "e").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")), rows)
+    # They are few; where they fit, rows stay where they are, as those of a frequent one would all meet in one task.
+    common = cut(common.select("e", "common", slices.alias("slices")), 2 * rows)
+    common = F.broadcast(common) if common.count() <= BROADCAST_IDS else common
+    ranked = cut(ranked.join(common, "e").withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")), rows)
     a = ranked.where("component <> common").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("a")
     b = ranked.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
@@ -294,7 +297,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     members = cut(name(hot, "rep", "component"), size)
     split = members.groupBy("centre").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("centre")
     # Centres are few; where they fit, members stay where they are, as a large bucket's would all meet in one task.
-    split = cut(split, size // 100)
+    split = cut(split, size)
     members = cut(members.join(F.broadcast(split) if split.count() <= BROADCAST_IDS else split, "centre", "left_semi"), size)
     if not members.isEmpty():
         open_pairs = open_pairs.unionByName(_prefix_pairs(members.select("rep", "component").distinct(), shingles, size, percent)).distinct()
