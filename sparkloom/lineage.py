@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows in a file of a cut table.
 FILE_ROWS = 100_000
+#: Edges up to which a round of ``components`` broadcasts the nodes (two numbers each).
+BROADCAST_EDGES = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,20 +60,23 @@ def components(edges: DataFrame, rows: int | None = None, most: int = 50) -> Dat
     Each round is two aggregations and joins; rounds grow with the logarithm of the longest path. Every round is cut. ``rows`` is about how many
     edges there are. Raises where the components have not settled after ``most`` rounds.
     """
+    # A hub's edges would all meet in one task. While there are few edges their nodes are broadcast and edges stay where they are; more are
+    # joined by a shuffle, where adaptive execution splits what a hub makes large.
+    near = lambda df: F.broadcast(df) if count <= BROADCAST_EDGES else df
     now = cut(edges.select(F.greatest("lo", "hi").alias("u"), F.least("lo", "hi").alias("v")).where("u <> v").distinct(), rows)
-    mark = None
+    mark, count = None, now.count()
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(near(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = cut(large, rows)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = large.join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut(small, rows)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
-        mark = new
+        mark, count = new, new[0]
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
