@@ -37,7 +37,10 @@ def _extraction_key(model: str) -> Column:
 
 @dataclass
 class Corpus:
-    """A knowledge base in a snapshot store."""
+    """A knowledge base in a snapshot store.
+
+    A resolver made by ``make_resolver`` embeds with the same model as ``embedder``: it is given the vectors that are known.
+    """
 
     store: SnapshotStore
     extractor: ExtractionClient
