@@ -764,7 +764,7 @@ def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.context_text(ask, hits, c, retrieval.annotations(c, n, e), retrieval.path_lines(paths, n, e))
 
 
-@query("""WITH r AS (SELECT l_orderkey q, l_returnflag s, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber * 2 END a, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber * 2 + l_linenumber % 2 END b, l_linenumber k FROM lineitem),
+@query("""WITH r AS (SELECT DISTINCT l_orderkey q, l_returnflag s, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber * 2 END a, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linenumber * 2 + l_linenumber % 2 END b, l_linenumber k FROM lineitem),
  u AS (SELECT q, s, bool_or(a IS NULL) un, min(k) f FROM r GROUP BY ALL), o AS (SELECT r.*, max(b) OVER (PARTITION BY q, s ORDER BY a, b, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) m FROM r JOIN u USING (q, s) WHERE NOT un),
  i AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY q, s ORDER BY a, b, k ROWS UNBOUNDED PRECEDING) g FROM o)
  SELECT i.q query_id, i.s source, min(a)::INT page_start, max(b)::INT page_end, any_value(f) first_rank FROM i JOIN u ON u.q = i.q AND u.s = i.s GROUP BY i.q, i.s, g UNION ALL SELECT q, s, NULL, NULL, f FROM u WHERE un""")
