@@ -60,15 +60,11 @@ def normal_type(text: Column) -> Column:
 
 def singular(word: Column) -> Column:
     """A folded word without its plural ending."""
-    long_plural = F.lit(False)
-    for ending in LONG_PLURALS:
-        long_plural = long_plural | word.endswith(ending)
     n = F.length(word)
-    return (
-        F.when((n > 4) & word.endswith("ies"), F.concat(F.left(word, n - 3), F.lit("y")))
-        .when((n > 4) & long_plural, F.left(word, n - 2))
-        .when((n > 3) & word.endswith("s") & ~word.endswith("ss"), F.left(word, n - 1))
-        .otherwise(word)
+    long_plural = (n > 4) & word.rlike(f"(?:{'|'.join(LONG_PLURALS)})$")
+    # Most words do not end with an s, which one look tells.
+    return F.when(~word.endswith("s") | (n <= 3), word).otherwise(
+        F.when((n > 4) & word.endswith("ies"), F.concat(F.left(word, n - 3), F.lit("y"))).when(long_plural, F.left(word, n - 2)).when(~word.endswith("ss"), F.left(word, n - 1)).otherwise(word)
     )
 
 
