@@ -272,9 +272,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     within = radius(percent)
     size = docs.count()
-    prints = cut(_fingerprints(docs, id_col, text_col), 2 * size)
+    prints = cut(_fingerprints(docs, id_col, text_col), 4 * size)  # rows of some 150 bytes
     full = prints.where("n > 0 AND doc_id IS NOT NULL")
-    sets = cut(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature")), 2 * size)
+    sets = cut(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature")), 4 * size)
     # No task holds more of one key than others: a text is in one bucket per key, so the largest has 1 in SYMBOLS rows.
     keyed = _keyed(sets, within).repartition("key").sortWithinPartitions("key", F.desc("copies"), "rep").select("key", "rep", "n")
     raw = keyed.mapInArrow(lambda batches: _bucket_pairs(batches, percent), PAIR)
