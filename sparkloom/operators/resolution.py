@@ -31,10 +31,14 @@ def name_matches(incoming: DataFrame, canonical: DataFrame) -> DataFrame:
 
     Both sides: ``id, label, aliases, type``; canonical also ``rank``, its age.
     """
-    left = incoming.select("id", normal_type(F.col("type")).alias("t"), F.explode(normal_names(F.col("label"), F.col("aliases"))).alias("name"))
-    right = canonical.select(F.col("id").alias("match_id"), "rank", normal_type(F.col("type")).alias("u"), F.explode(normal_names(F.col("label"), F.col("aliases"))).alias("name"))
-    fits = (F.col("t") == F.col("u")) | (F.col("t") == UNCLASSIFIED) | (F.col("u") == UNCLASSIFIED)
-    return left.join(right, "name").where(fits).groupBy("id").agg(F.min_by("match_id", "rank").alias("match_id"))
+    named = lambda df, *columns: df.select(*columns, normal_type(F.col("type")).alias("t"), F.explode(normal_names(F.col("label"), F.col("aliases"))).alias("name"))
+    # A common name would pair all its nodes; of the canonical ones only the oldest of each type, and of all types, can be a match.
+    right = named(canonical, F.col("id").alias("match_id"), "rank")
+    oldest = lambda df, *key: df.groupBy(*key).agg(F.min_by(F.struct("match_id", "rank"), "rank").alias("m"))
+    any_type = F.lit("*")  # no normal type has this form
+    right = oldest(right, "name", "t").unionByName(oldest(right, "name").withColumn("t", any_type)).select("name", "t", "m.*")
+    left = named(incoming, "id").select("id", "name", F.explode(F.when(F.col("t") == UNCLASSIFIED, F.array(any_type)).otherwise(F.array("t", F.lit(UNCLASSIFIED)))).alias("t"))
+    return left.join(right, ["name", "t"]).groupBy("id").agg(F.min_by("match_id", "rank").alias("match_id"))
 
 
 def type_blocks(incoming: DataFrame, canonical: DataFrame) -> DataFrame:

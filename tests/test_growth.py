@@ -28,3 +28,12 @@ def test_paths_do_not_carry_the_texts_of_their_evidence(spark):
     by_edges = {tuple(p.edge_ids): p.chunk_ids for p in paths}
     assert by_edges.pop(("e5",)) == ["c7", "c3"]
     assert all(c in (["c7", "c3"], [x[0] for x in chunks]) for c in by_edges.values())
+
+
+def test_names_that_all_nodes_share_do_not_pair_them(spark):
+    from sparkloom.operators import resolution
+
+    p = spark.range(3000).select("id", F.lit("Same Names").alias("label"), F.array().cast("array<string>").alias("aliases"), F.when(F.col("id") % 3 == 0, "unclassified").when(F.col("id") % 3 == 1, "Tool").otherwise("x").alias("type"), (3000 - F.col("id")).alias("rank"))
+    got = resolution.name_matches(p, p)
+    assert {(r.k, r.match_id): r.n for r in got.groupBy((F.col("id") % 3).alias("k"), "match_id").agg(F.count("*").alias("n")).collect()} == {(0, 2999): 1000, (1, 2998): 1000, (2, 2999): 1000}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3  # the canonical side has one row for each name and type
