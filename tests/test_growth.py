@@ -37,3 +37,17 @@ def test_names_that_all_nodes_share_do_not_pair_them(spark):
     got = resolution.name_matches(p, p)
     assert {(r.k, r.match_id): r.n for r in got.groupBy((F.col("id") % 3).alias("k"), "match_id").agg(F.count("*").alias("n")).collect()} == {(0, 2999): 1000, (1, 2998): 1000, (2, 2999): 1000}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 3  # the canonical side has one row for each name and type
+
+
+def test_cosines_of_keys_lengths_and_nulls(spark):
+    from sparkloom.operators import scoring
+
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [1.0, 1.0]), (3, "b", [1.0, 0.0]), (4, "a", [0.0, 0.0]), (5, "a", [1.0]), (6, None, [1.0, 0.0]), (7, "a", None), (8, "a", [1.0, None]), (9, "a", [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, label string, vector array<float>")
+    ask = v.where("id IN (1, 5)").withColumnRenamed("id", "query_id")
+    all_pairs = {(r.query_id, r.id): round(r.score, 6) for r in scoring.cosine_pairs(ask, v, "label").collect()}
+    assert all_pairs[1, 2] == 0.707107 and all_pairs[1, 9] == -1 and all_pairs[1, 5] == 0 and all_pairs[1, 4] == 0 and all_pairs[1, 8] == 0
+    assert {i for q, i in all_pairs if q == 1} == {1, 2, 4, 5, 8, 9}
+    got = {(r.query_id, r.id): round(r.score, 6) for r in scoring.semantic_scores(ask, v).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.0, (1, 3): 1.0, (1, 6): 1.0, (5, 5): 1.0}
+    assert "MapInArrow" in scoring.semantic_scores(ask, v)._jdf.queryExecution().toString()
