@@ -102,16 +102,14 @@ GIVEN_ID = r"^edge-\d{4,}$"
 
 
 def allocate_edge_ids(first_edges: DataFrame, used: list[str] | None = None, keep: bool = True) -> DataFrame:
-    """``key_ord, edge_id, new_id`` of edges in order: a kept id is its own unless taken; others get the lowest free ``edge-NNNN``
+    """The edges with ``new_id``, in order of ``key_ord`` and then of their other columns: a kept id is its own unless taken; others get the lowest free ``edge-NNNN``
     (A12, §1.5).
 
     The first edge of an id of another form keeps it whatever else happens. Only the rest, ids of the given form and repeated ones,
-    depend on all before them and are folded in one task, on two columns.
+    depend on all before them and are folded in one task, on a few columns.
     """
 
     def run(batches):
-        import pandas as pd
-
         taken, next_free = set(used or ()), 1
         for batch in batches:
             out = []
@@ -123,24 +121,28 @@ def allocate_edge_ids(first_edges: DataFrame, used: list[str] | None = None, kee
                     next_free += 1
                 taken.add(edge)
                 out.append(edge)
-            yield pd.DataFrame({"key_ord": batch["key_ord"], "edge_id": batch["edge_id"], "new_id": out})
+            yield batch.drop(columns="again").assign(new_id=out)
 
-    first = F.row_number().over(Window.partitionBy("edge_id").orderBy("key_ord"))
-    rows = first_edges.select("key_ord", "edge_id").withColumn("again", F.lit(False))
+    columns = ["key_ord", *sorted(c for c in first_edges.columns if c != "key_ord")]
+    first = F.row_number().over(Window.partitionBy("edge_id").orderBy(*columns))
+    rows = first_edges.select(*columns).withColumn("again", F.lit(False))
     free = F.lit(False)
     if keep:
         taken = F.col("edge_id").isin(list(used)) if used else F.lit(False)
         rows = rows.withColumn("again", (first > 1) & ~F.col("edge_id").rlike(GIVEN_ID) | taken)
         free = ~F.col("again") & ~F.col("edge_id").rlike(GIVEN_ID)
-    kept = rows.where(free).select("key_ord", "edge_id", F.col("edge_id").alias("new_id"))
-    folded = rows.where(~free).repartition(1).sortWithinPartitions("key_ord").mapInPandas(run, "key_ord long, edge_id string, new_id string")
+    kept = rows.where(free).select(*columns, F.col("edge_id").alias("new_id"))
+    schema = ", ".join(f"`{c}` {first_edges.schema[c].dataType.simpleString()}" for c in columns)
+    folded = rows.where(~free).repartition(1).sortWithinPartitions(*columns).mapInPandas(run, f"{schema}, new_id string")
     return kept.unionByName(folded)
 
 
 def combine_graphs(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Provenance of many document graphs as one graph: nodes by id, edges by ends and label, ids kept or given anew."""
     grouped = group_edges(edges)
-    firsts = grouped.where("ord = first_ord").select(F.col("ord").alias("key_ord"), F.col("edge_id"))
-    ids = allocate_edge_ids(firsts).select(F.col("key_ord").alias("first_ord"), "new_id")
-    renamed = grouped.join(ids, "first_ord").withColumn("canonical_id", F.col("new_id")).drop("new_id", "first_ord")
+    # Edges of unlike ends or labels may begin at one place, and an edge may begin with several rows.
+    key = ["first_ord", "from_id", "to_id", "label"]
+    firsts = grouped.where("ord = first_ord").groupBy(*key).agg(F.min("edge_id").alias("edge_id")).withColumnRenamed("first_ord", "key_ord")
+    ids = allocate_edge_ids(firsts).withColumnRenamed("key_ord", "first_ord").select(*key, "new_id")
+    renamed = grouped.join(ids, key).withColumn("canonical_id", F.col("new_id")).drop("new_id", "first_ord")
     return materialize_nodes(nodes), materialize_edges(renamed)

@@ -51,3 +51,17 @@ def test_cosines_of_keys_lengths_and_nulls(spark):
     got = {(r.query_id, r.id): round(r.score, 6) for r in scoring.semantic_scores(ask, v).collect()}
     assert got == {(1, 1): 1.0, (1, 2): 0.0, (1, 3): 1.0, (1, 6): 1.0, (5, 5): 1.0}
     assert "MapInArrow" in scoring.semantic_scores(ask, v)._jdf.queryExecution().toString()
+
+
+def test_edges_that_begin_at_one_place_stay_apart(spark):
+    from sparkloom.operators import provenance
+
+    edge = "canonical_id string, ord long, source string, content_hash string, edge_id string, from_id string, to_id string, label string, properties string, chunk_ids array<string>"
+    row = lambda o, i, a, b: (i, o, "d", "h", i, a, b, "x", "{}", ["c"])
+    edges = spark.createDataFrame([row(1, "p", "a", "b"), row(1, "p", "c", "d"), row(1, "p", "c", "d"), row(2, "q", "a", "b")], edge)
+    grouped = provenance.group_edges(edges)
+    key = ["first_ord", "from_id", "to_id", "label"]
+    assert grouped.select(*key).distinct().count() == 2
+    node = "canonical_id string, ord long, source string, content_hash string, node_id string, label string, type string, suggested_type string, aliases array<string>, properties string, chunk_ids array<string>, resolution_aliases array<string>"
+    _, out = provenance.combine_graphs(spark.createDataFrame([], node), edges)
+    assert sorted((r.id, r.from_id, r.to_id, r.n_provenance) for r in out.collect()) == [("edge-0001", "c", "d", 2), ("p", "a", "b", 2)]
