@@ -64,16 +64,19 @@ def similar_in_blocks(incoming: DataFrame, canonical: DataFrame, *, min_similari
     """
     import pandas as pd
 
-    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n)
+    size = lambda m: np.sqrt((m * m).sum(axis=1))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame([], columns=["id", "match_id", "similarity", "place"], dtype=object)
         right = right.sort_values("other_id", kind="stable")
-        a, b = unit(np.stack(left["vector"]).astype(np.float32)), unit(np.stack(right["other"]).astype(np.float32))
+        # In double precision and rounded past it, so that equal vectors tie wherever they stand in a matrix.
+        a, b = np.stack(left["vector"]).astype(np.float64), np.stack(right["other"]).astype(np.float64)
+        own_size, other_size = size(a), size(b)
         ids, names, out = left["id"].to_numpy(), right["other_id"].to_numpy(), []
         for first in range(0, len(a), 512):
-            scores = a[first : first + 512] @ b.T
+            sizes = own_size[first : first + 512, None] * other_size
+            scores = np.round(np.divide(a[first : first + 512] @ b.T, sizes, out=np.zeros_like(sizes), where=sizes != 0), 13)
             for row, s in enumerate(scores):
                 own = ids[first + row]
                 fit = np.flatnonzero((s >= min_similarity) & (names != own))

@@ -65,3 +65,13 @@ def test_edges_that_begin_at_one_place_stay_apart(spark):
     node = "canonical_id string, ord long, source string, content_hash string, node_id string, label string, type string, suggested_type string, aliases array<string>, properties string, chunk_ids array<string>, resolution_aliases array<string>"
     _, out = provenance.combine_graphs(spark.createDataFrame([], node), edges)
     assert sorted((r.id, r.from_id, r.to_id, r.n_provenance) for r in out.collect()) == [("edge-0001", "c", "d", 2), ("p", "a", "b", 2)]
+
+
+def test_similarities_have_double_precision(spark):
+    from sparkloom.operators import resolution
+
+    near = [float(x) for x in range(1, 65)]
+    v = spark.createDataFrame([(1, 0, near), (2, 0, [1.0, *near[1:63], 64.0001]), (3, 0, near), (4, 0, near)], "id long, block int, vector array<double>")
+    got = {(r.id, r.match_id): (r.similarity, r.place) for r in resolution.similar_in_blocks(v, v, min_similarity=0.2).collect()}
+    assert got[1, 3] == (1.0, 1) and got[1, 4] == (1.0, 2)
+    assert 0 < 1 - got[1, 2][0] < 1e-11 and got[1, 2][1] == 3  # single precision calls these equal
