@@ -83,3 +83,20 @@ def test_page_batches_stream_and_unknown_lengths_stand_alone(spark):
     rows = [("a", i, n) for i, n in enumerate([9000, 7000, 1, None, 5, 6], 1)] + [("b", 1, 20_000), ("b", 2, 1), (None, 1, 3)]
     got = documents.page_batch_frame(spark.createDataFrame(rows, "source string, page int, n_chars long"))
     assert sorted((r.source or "", r.page, r.batch) for r in got.collect()) == [("", 1, 1), ("a", 1, 1), ("a", 2, 1), ("a", 3, 2), ("a", 4, 3), ("a", 5, 4), ("a", 6, 4), ("b", 1, 1), ("b", 2, 2)]
+
+
+def test_merging_costs_what_it_adds(spark, monkeypatch):
+    from sparkloom.operators import resolution
+
+    calls = []
+    plain = resolution.plain_name
+    monkeypatch.setattr(resolution, "plain_name", lambda text: calls.append(1) or plain(text))
+    one = lambda i: resolution.Entity(f"p{i}", (resolution.Contribution("s", "h", f"p{i}", "Red bolts" if i % 2 else "red bolt", "tool"),))
+    r = resolution.Resolver(embed=lambda texts: [[1.0]] * len(texts), judge=lambda node, candidates: resolution.Decision("new"))
+    early = one(0)
+    assert r.add(early) == "p0"
+    assert all(r.add(one(i)) == "p0" for i in range(1, 300))
+    assert len(calls) < 10 * 300
+    assert len(r.entities["p0"].parts) == 300 and len(early.parts) == 1 and r.entities["p0"].aliases == ()
+    fork = early.grown((resolution.Contribution("t", "h", "x", "Other", "Unclassified", aliases=("Third",)),))
+    assert [p.label for p in fork.parts] == ["red bolt", "Other"] and fork.aliases == ("Other", "Third") and len(r.entities["p0"].parts) == 300
