@@ -11,7 +11,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +22,9 @@ TARGET_TOKENS, MAX_TOKENS = 4000, 8000
 PAGE_TAG = "sparkloom"
 CHUNK_SCHEMA = "source string, `index` int, text string, heading_path array<string>, page_start int, page_end int"
 
+#: Characters of chunks that a worker holds before it gives them back, and what a chunk counts beside its text.
+BATCH_CHARS, ROW_CHARS = 1_000_000, 100
+
 #: Counts tokens of a text. Any callable that can be pickled will do; one with ``starts`` (see ``PatternTokens``) is asked once per text.
 TokenCounter = Callable[[str], int]
 
@@ -185,13 +188,24 @@ def chunk_markdown(markdown: str, *, count: TokenCounter = pattern_tokens, targe
 def chunk_documents(docs: DataFrame, *, count: TokenCounter = pattern_tokens, target: int = TARGET_TOKENS, most: int = MAX_TOKENS, tag: str = PAGE_TAG) -> DataFrame:
     """``id, source, index, text, heading_path, page_start, page_end`` of ``source, markdown`` rows. Narrow."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(source, k, c.text, c.path, c.first, c.last) for source, markdown in zip(batch["source"], batch["markdown"], strict=True) for k, c in enumerate(chunk_markdown(markdown or "", count=count, target=target, most=most, tag=tag))]
-            frame = pd.DataFrame(rows, columns=["source", "index", "text", "heading_path", "page_start", "page_end"])
-            yield frame.astype({"page_start": "Int32", "page_end": "Int32"})
+    types = pa.schema([("source", pa.string()), ("index", pa.int32()), ("text", pa.string()), ("heading_path", pa.list_(pa.string())), ("page_start", pa.int32()), ("page_end", pa.int32())])
 
-    out = docs.select("source", "markdown").mapInPandas(run, CHUNK_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One document at a time is taken from Arrow, and chunks are given back before they are many.
+        for batch in batches:
+            rows, size = [], 0
+            for source, markdown in zip(batch.column("source"), batch.column("markdown"), strict=True):
+                name = source.as_py()
+                for k, c in enumerate(chunk_markdown(markdown.as_py() or "", count=count, target=target, most=most, tag=tag)):
+                    rows.append((name, k, c.text, c.path, c.first, c.last))
+                    size += len(c.text) + ROW_CHARS
+                if size >= BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+
+    out = docs.select("source", "markdown").mapInArrow(run, CHUNK_SCHEMA)
     return out.select(chunk_id(source_key(F.col("source")), F.col("index")).alias("id"), "*")
 
 

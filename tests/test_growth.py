@@ -100,3 +100,15 @@ def test_merging_costs_what_it_adds(spark, monkeypatch):
     assert len(r.entities["p0"].parts) == 300 and len(early.parts) == 1 and r.entities["p0"].aliases == ()
     fork = early.grown((resolution.Contribution("t", "h", "x", "Other", "Unclassified", aliases=("Third",)),))
     assert [p.label for p in fork.parts] == ["red bolt", "Other"] and fork.aliases == ("Other", "Third") and len(r.entities["p0"].parts) == 300
+
+
+def test_long_documents_come_back_in_small_batches(spark):
+    from sparkloom.functions import text
+    from sparkloom.operators import chunking
+
+    d = spark.createDataFrame([(i, "word " * 100_000 if i % 5 else None) for i in range(20)], "doc_id long, text string").coalesce(1)
+    parts = text.message_rows(d, "doc_id", "text")
+    assert parts.count() == d.select(F.posexplode(text.split_messages("text"))).count()
+    assert "MapInArrow" in parts._jdf.queryExecution().toString()
+    chunks = chunking.chunk_documents(d.select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("markdown")), target=1, most=60)
+    assert "MapInArrow" in chunks._jdf.queryExecution().toString() and chunks.select("source").distinct().count() == 16
