@@ -8,6 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.lineage import cut
+
+#: Keys up to which a join of all edges broadcasts them.
+BROADCAST_KEYS = 250_000
+
 
 def diff_sources(current: DataFrame, existing: DataFrame) -> DataFrame:
     """``source, status``: added, changed, deleted or unchanged (J11, U01). Both sides: ``source, content_hash``."""
@@ -17,12 +22,20 @@ def diff_sources(current: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def affected_ids(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Canonical ids of nodes and edges that the sources contributed to, and edges of such nodes (J14). Takes provenance."""
-    hit = sources.select("source")
-    node_ids = nodes.join(hit, "source", "left_semi").select("canonical_id").distinct()
-    own = edges.join(hit, "source", "left_semi").select("canonical_id")
-    ends = [edges.join(node_ids.withColumnRenamed("canonical_id", end), end, "left_semi").select("canonical_id") for end in ("from_id", "to_id")]
-    return node_ids, own.unionByName(ends[0]).unionByName(ends[1]).distinct()
+    """Canonical ids of nodes and edges that the sources contributed to, and edges of such nodes (J14). Takes provenance.
+
+    Edges are read once and stay where they are while the sources and nodes are few: all edges of a source or a node would meet in one task.
+    More are joined by a shuffle, where adaptive execution splits what a hub makes large.
+    """
+    near = lambda df, few: F.broadcast(df) if few else df
+    hit = sources.select("source").where("source IS NOT NULL").distinct()
+    few_sources = hit.count() <= BROADCAST_KEYS
+    node_ids = cut(nodes.join(near(hit, few_sources), "source", "left_semi").select("canonical_id").distinct())
+    few_nodes = node_ids.count() <= BROADCAST_KEYS
+    out = edges.select("canonical_id", "source", "from_id", "to_id")
+    for keys, end, few in ((hit, "source", few_sources), (node_ids, "from_id", few_nodes), (node_ids, "to_id", few_nodes)):
+        out = out.join(near(keys.toDF(end).withColumn(f"{end}_hit", F.lit(True)), few), end, "left")
+    return node_ids, out.where("source_hit OR from_id_hit OR to_id_hit").select("canonical_id").distinct()
 
 
 def delta(old_ids: DataFrame, new_ids: DataFrame, present: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -147,3 +147,19 @@ def test_page_ranges_sort_once_in_tasks_that_do_not_grow(spark):
     assert order(retrieval.page_ranges(df)) == order(retrieval.page_ranges(df, 10_000_000)) == sorted(want, key=str)
     plan = retrieval.page_ranges(df, 10_000_000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange") == 1 and ", 51), REPARTITION_BY_NUM" in plan
+
+
+def test_edges_of_few_sources_stay_where_they_are(spark, tmp_path, monkeypatch):
+    from sparkloom.operators import sync
+
+    n = spark.createDataFrame([("a", "s1"), ("b", "s2"), ("c", "s1"), ("c", "s3"), (None, "s1"), ("d", None)], "canonical_id string, source string")
+    spark.createDataFrame([("e1", "s9", "a", "b"), ("e2", "s9", "b", "c"), ("e3", "s1", "b", "b"), ("e4", "s9", "b", "d"), ("e4", None, None, None), ("e1", None, "c", "a"), ("e5", None, None, "c")], "canonical_id string, source string, from_id string, to_id string").write.parquet(f"{tmp_path}/e")
+    e = spark.read.parquet(f"{tmp_path}/e")
+    sources = spark.createDataFrame([("s1",), ("s1",), (None,)], "source string")
+    for most in (250_000, 0):
+        monkeypatch.setattr(sync, "BROADCAST_KEYS", most)
+        nodes, edges = sync.affected_ids(n, e, sources)
+        assert {r[0] for r in nodes.collect()} == {"a", "c", None} and nodes.count() == 3
+        assert sorted(r[0] for r in edges.collect()) == ["e1", "e2", "e3", "e5"]
+        plans = edges._jdf.queryExecution()
+        assert plans.optimizedPlan().toString().count("Relation [") == 1 and plans.executedPlan().toString().count("BroadcastHashJoin") >= (3 if most else 0)
