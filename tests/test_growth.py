@@ -163,3 +163,21 @@ def test_edges_of_few_sources_stay_where_they_are(spark, tmp_path, monkeypatch):
         assert sorted(r[0] for r in edges.collect()) == ["e1", "e2", "e3", "e5"]
         plans = edges._jdf.queryExecution()
         assert plans.optimizedPlan().toString().count("Relation [") == 1 and plans.executedPlan().toString().count("BroadcastHashJoin") >= (3 if most else 0)
+
+
+def test_words_of_normal_forms_are_made_once(spark, tmp_path):
+    import duckdb
+
+    from sparkloom.functions import text
+    from sparkloom.plans.queries import QUERIES, SQL
+
+    # The cheap looks before the folds must find every one of them, alone and with others.
+    texts = [f"Axes{c}Ties x" for c in text.CASE_FOLDS] + ["".join(text.CASE_FOLDS), "λ 中 Companies“classes”", "", None, "ß", "ŉßẚ Boxes"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["normal_forms"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = db.sql(f"SELECT doc_id, normal, type, name, content FROM ({SQL['normal_forms']})").fetchall()
+    assert sorted(map(tuple, df.select("doc_id", "normal", "type", "name", "content").collect())) == sorted(expected)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert "RLIKE(text, [ß" not in text.fold(F.col("text"))._jc.toString()
